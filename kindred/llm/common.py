@@ -102,3 +102,35 @@ def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     ends = np.cumsum(counts)
     return np.arange(total) - np.repeat(ends - counts, counts) + np.repeat(starts, counts)
+
+
+BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
+_POWERS = {0: np.ones(1, np.uint64), 1: np.ones(1, np.uint64)}
+
+
+def powers(n: int, inverse: bool = False) -> np.ndarray:
+    """The first n powers of the base, or of its inverse, modulo 2**64."""
+    have = _POWERS[inverse]
+    if len(have) < n:
+        step = np.full(max(n, 1 << 20), BASE_INVERSE if inverse else BASE, np.uint64)
+        step[0] = 1
+        _POWERS[inverse] = have = np.cumprod(step)
+    return have[:n]
+
+
+def prefix_hashes(values: np.ndarray) -> np.ndarray:
+    """H with H[j] - H[i] = sum of values[k] * base**k over i <= k < j, modulo 2**64."""
+    out = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * powers(len(values)), out=out[1:])
+    return out
+
+
+def substring_hashes(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Polynomial hashes of the substrings, the same wherever they stand."""
+    return (prefix[ends] - prefix[starts]) * powers(len(prefix), True)[starts]
+
+
+def byte_codes() -> np.ndarray:
+    """A fixed random 64-bit number for each byte value."""
+    return np.random.Generator(np.random.PCG64(2024)).integers(1, 1 << 63, 256, dtype=np.uint64)
