@@ -134,3 +134,27 @@ def substring_hashes(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -
 def byte_codes() -> np.ndarray:
     """A fixed random 64-bit number for each byte value."""
     return np.random.Generator(np.random.PCG64(2024)).integers(1, 1 << 63, 256, dtype=np.uint64)
+
+
+class KeyFilter:
+    """A bit set of a fixed size over 64-bit keys: no key of the table is missed, others pass now and then."""
+
+    def __init__(self, keys: DataFrame, bits: int = 25):
+        def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            cells = np.zeros(1 << bits, bool)
+            for b in batches:
+                cells[_cells(b.column(0), bits)] = True
+            yield pa.RecordBatch.from_arrays([pa.array([np.packbits(cells).tobytes()], pa.binary())], ["cells"])
+
+        self.bits, out = bits, np.zeros(1 << (bits - 3), np.uint8)
+        for r in keys.coalesce(4).mapInArrow(fill, "cells binary").toLocalIterator():  # at most four values of a fixed size
+            out |= np.frombuffer(r.cells, np.uint8)
+        self.cells = out
+
+    def has(self, keys: pa.Array) -> np.ndarray:
+        at = _cells(keys, self.bits)
+        return (self.cells[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)
+
+
+def _cells(keys: pa.Array, bits: int) -> np.ndarray:
+    return (mix64(keys.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)

@@ -29,11 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import blocks, byte_codes, cut, drop_table, map_arrow, mix64, prefix_hashes, substring_hashes, utf8
+from kindred.llm.common import KeyFilter, blocks, byte_codes, cut, drop_table, map_arrow, mix64, prefix_hashes, substring_hashes, utf8
 from kindred.llm.components import components
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+RANGES = 128
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _CODES = byte_codes()[_LOWER]
 
@@ -186,73 +187,77 @@ def _possible(percent: int):
     return length & (F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2")) >= need)
 
 
-def _filter_of(nodes: DataFrame, bits: int) -> np.ndarray:
-    """A bit set of a fixed size with the nodes' bits. More nodes than it separates only weaken it."""
-    size = 1 << (bits - 3)
-
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(1 << bits, bool)
-        for b in batches:
-            cells[(mix64(b.column(0).to_numpy(zero_copy_only=False).astype(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(cells).tobytes()], pa.binary())], ["cells"])
-
-    out = np.zeros(size, np.uint8)
-    for r in nodes.coalesce(4).mapInArrow(fill, "cells binary").toLocalIterator():  # at most four values of a fixed size
-        out |= np.frombuffer(r.cells, np.uint8)
-    return out
-
-
 def _sets(docs: DataFrame, nodes: DataFrame, params: JoinParams) -> DataFrame:
-    """(node, members) of the classes that may be in `nodes`, one row for each."""
-    shared = docs.sparkSession.sparkContext.broadcast(_filter_of(nodes, params.bloom_bits))
-    shift = np.uint64(64 - params.bloom_bits)
+    """(node, members, counts) of the classes that may be in `nodes`, one row for each."""
+    shared = docs.sparkSession.sparkContext.broadcast(KeyFilter(nodes, params.bloom_bits))
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        bits, done, names, values, size = shared.value, set(), [], [], 0
+        known, done, names, values, tables, size = shared.value, set(), [], [], [], 0
+
+        def rows() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(values, pa.binary()), pa.array(tables, pa.binary())], ["node", "members", "counts"])
+
         for own in sets_of(batch.column(0), params.words):
             node = node_of(own)
             if node in done:
                 continue
-            cell = int(mix64(np.array([node]).astype(np.uint64))[0] >> shift)
-            if node and bits[cell >> 3] >> (7 - (cell & 7)) & 1:
+            if node and known.has(pa.array([node]))[0]:
                 done.add(node)
                 names.append(node)
                 values.append(own.tobytes())
+                tables.append(range_counts(own).tobytes())
                 size += len(values[-1])
                 if size > 4 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(values, pa.binary())], ["node", "members"])
-                    names, values, size = [], [], 0
+                    yield rows()
+                    names, values, tables, size = [], [], [], 0
         if names:
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(values, pa.binary())], ["node", "members"])
+            yield rows()
+
+    found = map_arrow(docs.select("text"), run, "node long, members binary, counts binary")
+    return found.groupBy("node").agg(F.any_value("members").alias("members"), F.any_value("counts").alias("counts"))
+
 
-    return map_arrow(docs.select("text"), run, "node long, members binary").groupBy("node").agg(F.any_value("members").alias("members"))
+def range_counts(own: np.ndarray) -> np.ndarray:
+    """How many hashes fall into each of RANGES equal ranges, at most 65,535."""
+    return np.minimum(np.bincount((own >> np.uint64(64 - 7)).astype(np.int64), minlength=RANGES), 65535).astype(np.uint16)
+
+
+def may_overlap(x: np.ndarray, y: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """The suffix filter: two sets share no more hashes of a range than the smaller count says. Rows are pairs.
+
+    A count at its limit says nothing.
+    """
+    bound = np.minimum(x, y).astype(np.int64).sum(1)
+    return (bound >= need) | ((x == 65535) & (y == 65535)).any(1)
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """Whether two sorted sets link."""
     need = least_overlap(len(a), len(b), percent)
-    if len(a) > 64:  # suffix filter: ranges of hashes can't share more than the smaller count
-        cuts = (np.arange(1, 16, dtype=np.uint64)) << np.uint64(60)
-        x = np.diff(np.concatenate([[0], np.searchsorted(a, cuts), [len(a)]]))
-        y = np.diff(np.concatenate([[0], np.searchsorted(b, cuts), [len(b)]]))
-        if np.minimum(x, y).sum() < need:
-            return False
     both = np.sort(np.concatenate([a, b]), kind="stable")
     return int((both[1:] == both[:-1]).sum()) >= need
 
 
+def _both(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+    """Pairs with a column of both classes: two joins, which Spark splits where one class is in many pairs."""
+    left = sets.select(F.col("node").alias("a"), F.col(column).alias("x"))
+    right = sets.select(F.col("node").alias("b"), F.col(column).alias("y"))
+    return pairs.join(left, "a").join(right, "b").select(*pairs.columns, "x", "y")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that link. Sets reach pairs through two joins, which Spark splits where one class is in many pairs."""
-    left = sets.select(F.col("node").alias("a"), F.col("members").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("members").alias("y"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+    """Pairs (a, b) that link. Only those that pass the suffix filter, on 256 bytes a class, meet their sets."""
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def likely(batch: pa.RecordBatch) -> pa.RecordBatch:
+        x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, RANGES) for k in (3, 4))
+        return batch.filter(pa.array(may_overlap(x, y, batch.column(2).to_numpy(zero_copy_only=False)))).select(["a", "b"])
+
+    def exact(batch: pa.RecordBatch) -> pa.RecordBatch:
         ok = [similar(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), percent) for x, y in zip(batch.column(2), batch.column(3))]
-        keep = pa.array(ok, pa.bool_())
-        return pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+        return batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
 
-    return map_arrow(both, run, "a long, b long")
+    left = map_arrow(_both(pairs.select("a", "b", "need"), sets, "counts"), likely, "a long, b long")
+    return map_arrow(_both(cut(left, "likely"), sets, "members"), exact, "a long, b long")
 
 
 def classes(docs: DataFrame, params: JoinParams) -> DataFrame:
@@ -267,9 +272,10 @@ def classes(docs: DataFrame, params: JoinParams) -> DataFrame:
 
 def node_roots(docs: DataFrame, params: JoinParams) -> DataFrame | None:
     """(node, root) of the classes that link with others; null when none does."""
-    entries = cut(_entries(docs, _sketch(docs, params), params), "prefixes").distinct()
+    entries = cut(_entries(docs, _sketch(docs, params), params), "prefixes")
     groups = entries.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select(F.col("token").alias("t"))
-    entries = cut(entries.join(groups, F.col("token") == F.col("t"), "left_semi"), "shared-prefixes")  # shingles that meet in prefixes
+    # shingles that meet in prefixes; a class that several tasks met is named once from here on
+    entries = cut(entries.join(groups, F.col("token") == F.col("t"), "left_semi").distinct(), "shared-prefixes")
     if entries.isEmpty():
         return None
     sets = cut(_sets(docs, entries.select("node").distinct(), params), "sets")
@@ -290,13 +296,14 @@ def node_roots(docs: DataFrame, params: JoinParams) -> DataFrame | None:
         else:
             partner = rows.select(*other)
         met = rows.join(partner, F.col("token") == F.col("token2")).where((F.col("root") != F.col("root2")) & (F.col("node") != F.col("node2")) & _possible(params.percent))
-        pairs = met.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
+        need = F.ceil((F.col("n") + F.col("n2")) * params.percent / (100 + params.percent) - 1e-9).cast("long").alias("need")
+        pairs = met.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"), need).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = cut(pairs, "pairs")
         if pairs.isEmpty():
             continue
-        tried = pairs if tried is None else tried.unionByName(pairs)
+        tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
         found = cut(_verified(pairs, sets, params.percent), "verified")
         links = found if links is None else links.unionByName(found)
         roots = cut(components(links), "roots")

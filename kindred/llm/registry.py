@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import grammar, jaccard, language, media, mixing, packing, pii, secrets, topk
+from kindred.llm import grammar, jaccard, language, media, mixing, packing, pii, repeats, secrets, topk
 from kindred.llm.common import cut, documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,10 @@ def op6_grammar(spark: SparkSession, sf: str) -> DataFrame:
     return grammar.read(grammar.write(documents(spark, sf)))
 
 
+def op7_repeats(spark: SparkSession, sf: str) -> DataFrame:
+    return repeats.digest(documents(spark, sf))
+
+
 def op8_jaccard(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard.near_duplicates(documents(spark, sf), jaccard.JoinParams(words=4, percent=85))
 
@@ -79,7 +83,7 @@ p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) A
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= 20
 """
 
-_QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language, op2_packing, op3_media, op4_secrets, op5_pii, op6_grammar, op8_jaccard, op9_topk, op10_mixing)}
+_QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language, op2_packing, op3_media, op4_secrets, op5_pii, op6_grammar, op7_repeats, op8_jaccard, op9_topk, op10_mixing)}
 _SQL = {"op9_topk": OP9_SQL, "op10_mixing": OP10_SQL}
 
 
