@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from kindred.llm import grammar, jaccard, language, media, mixing, packing, pii, repeats, secrets, topk
 from kindred.llm.common import cut, documents
 
@@ -88,8 +89,8 @@ _SQL = {"op9_topk": OP9_SQL, "op10_mixing": OP10_SQL}
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return _QUERIES | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return _SQL | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from kindred.llm.common import KeyFilter, blocks, byte_codes, cut, map_arrow, mix64, prefix_hashes, ranges, substring_hashes, utf8
 
-SIZE, GRAM, GROUP, BATCH = 400, 200, 20_000, 20_000
+SIZE, GRAM, GROUP, BATCH = 400, 200, 5_000, 4_000
 _CODES = byte_codes()
 _NEVER = np.uint64(0xFFFFFFFFFFFFFFFF)
 
