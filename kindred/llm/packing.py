@@ -135,8 +135,8 @@ def pieces(docs: DataFrame, vocabulary_path: str, end_id: int = END_ID) -> DataF
         encode = encoder(vocabulary_path).encode
         texts = batch.column(1)
         _, offsets = utf8(texts)
-        for i, j in blocks(offsets):
-            ids, counts = encode([t or "" for t in texts.slice(i, j - i).to_pylist()])
+        for i, j in blocks(offsets, 4 << 20):
+            ids, counts = encode(texts.slice(i, j - i))
             row: list[list[int]] = [[], [], [], [], []]
             at = 0
             for k, n in enumerate(counts.tolist()):

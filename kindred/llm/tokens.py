@@ -1,8 +1,10 @@
-"""Token ids from vocabulary files of the tokenizers library, with a cache of space-separated pieces.
+"""Token ids from vocabulary files of the tokenizers library, with caches of pieces and words.
 
 Both vocabularies split a text before every space that a non-space follows, so the ids of a text are those of
-its pieces, each with the space before it. A byte-level text in which a space stands before white space or
-at the end is encoded whole. Special tokens' strings in a text are ordinary text.
+its pieces, each with the space before it; pieces are made and told apart by Arrow, and only distinct ones meet
+Python. A new piece of plain characters is split into words by the vocabulary's own pattern, and the library's model
+encodes each new word; any other piece, and a byte-level text in which a space stands before white space or
+at the end, goes through the library as a whole. Special tokens' strings in a text are ordinary text.
 """
 
 from __future__ import annotations
@@ -10,91 +12,198 @@ from __future__ import annotations
 import json
 import os
 import re
-from itertools import repeat
+from itertools import chain, repeat
+from operator import attrgetter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 
 from kindred.llm.common import ranges
 
-_ODD = re.compile(r" (?:\s|\Z)")
+# The vocabularies' patterns.
+BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: A space before white space or the end, in RE2's syntax.
+ODD = r" (?:[\t-\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|\z)"
+#: Printable ASCII, line feed and precomposed Latin letters: stable under normalisation, one case mapping everywhere.
+PLAIN = re.compile("[ !-~\nÀ-ɏ]+").fullmatch
+
+#: Texts of such characters, without apostrophes (which start contractions) and the one letter that grows in lower case.
+EASY = r"\A[ -&(-~\n\x{c0}-\x{12f}\x{131}-\x{24f}]*\z"
+#: What stands apart from letters in such texts: single digits, and runs of marks.
+MARKS = r"[0-9]|[!-/:-@\[-`{-~\x{d7}\x{f7}]+"
+
 _ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
+class _Table:
+    """Ids by string: rows of one flat array."""
+
+    def __init__(self):
+        self.index: dict[str, int] = {}
+        self.flat = np.zeros(1 << 16, np.uint32)
+        self.starts = np.zeros(1 << 14, np.int64)
+        self.used = 0
+
+    def add(self, keys: list[str], counts: np.ndarray, flat: np.ndarray) -> None:
+        base = len(self.index)
+        self.index.update(zip(keys, range(base, base + len(keys))))
+        if self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat[: self.used], np.zeros(self.used + 2 * len(flat), np.uint32)])
+        self.flat[self.used : self.used + len(flat)] = flat
+        if base + len(keys) + 1 > len(self.starts):
+            self.starts = np.concatenate([self.starts, np.zeros(len(self.starts) + 2 * len(keys), np.int64)])
+        self.starts[base + 1 : base + len(keys) + 1] = self.used + np.cumsum(counts)
+        self.used += len(flat)
+
+    def rows(self, keys: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.index.get, keys, repeat(-1)), np.int64, len(keys))
+
+    def forget(self, keys: list[str], used: int) -> None:
+        for k in keys:
+            del self.index[k]
+        self.used = used
+
+    def gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        counts = self.starts[at + 1] - self.starts[at]
+        return self.flat[ranges(self.starts[at], counts)], counts
+
+
+def _byte_letters() -> dict[int, int]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on."""
+    kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(kept)]
+    return dict(zip(kept, kept)) | {b: 256 + i for i, b in enumerate(rest)}
+
+
 class Encoder:
-    """Encodes lists of texts. The cache keeps its first `entries` pieces, the frequent ones among them; when most
-    pieces of a list are unknown to a full cache, it starts anew."""
+    """Encodes Arrow arrays of texts. The caches keep their first `entries` strings, the frequent ones among them;
+    when most strings of an array are unknown to a full cache, both start anew."""
 
-    def __init__(self, path: str, entries: int = 1_000_000):
+    def __init__(self, path: str, entries: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        # a normaliser that folds white space makes runs of spaces harmless
+        # a normaliser that folds white space and case makes spaces around words harmless
         self._folds = spec.get("normalizer") is not None
+        self._split = regex.compile(WORD_PATTERN if self._folds else BYTE_PATTERN).findall
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
+        self._letters = _byte_letters()
         self._entries = entries
         self.size = self._tokenizer.get_vocab_size()
-        self._reset()
+        self._pieces, self._words = _Table(), _Table()
 
-    def _reset(self) -> None:
-        self._index: dict[str, int] = {}
-        self._flat = np.zeros(1 << 16, np.uint32)
-        self._starts = np.zeros(1 << 14, np.int64)
-        self._used = 0
+    def _add_words(self, words: list[str]) -> None:
+        tokenize, letters = self._tokenizer.model.tokenize, self._letters
+        found = [tokenize(w.encode().decode("latin-1").translate(letters)) for w in words]
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        self._words.add(words, counts, np.fromiter(map(attrgetter("id"), chain.from_iterable(found)), np.uint32, int(counts.sum())))
 
-    def _add(self, keys: list[str]) -> None:
+    def _add_pieces(self, keys: list[str]) -> None:
         """A key is a piece after a space; one that starts with a space is the first piece of a text."""
-        encoded = self._tokenizer.encode_batch_fast([k[1:] if k[:1] == " " else f" {k}" for k in keys], add_special_tokens=False)
-        ids = [e.ids for e in encoded]
-        base = len(self._index)
-        self._index.update(zip(keys, range(base, base + len(keys))))
-        counts = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((x for i in ids for x in i), np.uint32, int(counts.sum()))
-        if self._used + len(flat) > len(self._flat):
-            self._flat = np.concatenate([self._flat[: self._used], np.zeros(self._used + 2 * len(flat), np.uint32)])
-        self._flat[self._used : self._used + len(flat)] = flat
-        if base + len(keys) + 1 > len(self._starts):
-            self._starts = np.concatenate([self._starts, np.zeros(len(self._starts) + 2 * len(keys), np.int64)])
-        self._starts[base + 1 : base + len(keys) + 1] = self._used + np.cumsum(counts)
-        self._used += len(flat)
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts together and the number of each."""
-        keys: list[str] = []
-        pieces = np.zeros(len(texts), np.int64)
-        whole: dict[int, list[int]] = {}
-        for i, t in enumerate(texts):
-            if not t:
-                continue
-            if not self._folds and _ODD.search(t):
-                whole[i] = self._tokenizer.encode(t, add_special_tokens=False).ids
-                continue
-            parts = t.split(" ")
-            parts[0] = f" {parts[0]}"
-            pieces[i] = len(parts)
-            keys += parts
-        at = np.fromiter(map(self._index.get, keys, repeat(-1)), np.int64, len(keys))
-        full, used, new = len(self._index) >= self._entries, self._used, []
+        texts = [k[1:] if k[:1] == " " else f" {k}" for k in keys]
+        plain = [bool(PLAIN(t)) for t in texts]
+        easy = [(k, t.lower() if self._folds else t) for k, t, p in zip(keys, texts, plain) if p]
+        if easy:
+            parts = [self._split(t) for _, t in easy]
+            sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+            words = list(chain.from_iterable(parts))
+            at = self._words.rows(words)
+            full, used, new = len(self._words.index) >= self._entries, self._words.used, []
+            if (at < 0).any():
+                unknown = np.flatnonzero(at < 0).tolist()
+                new = list(dict.fromkeys(words[k] for k in unknown))
+                self._add_words(new)
+                at[unknown] = self._words.rows([words[k] for k in unknown])
+            flat, counts = self._words.gather(at)
+            ends = np.concatenate([[0], np.cumsum(counts)])[np.cumsum(sizes)]
+            self._pieces.add([k for k, _ in easy], np.diff(np.concatenate([[0], ends])), flat)
+            if full:
+                self._words.forget(new, used)
+        hard = [(k, t) for k, t, p in zip(keys, texts, plain) if not p]
+        if hard:
+            ids = [e.ids for e in self._tokenizer.encode_batch_fast([t for _, t in hard], add_special_tokens=False)]
+            counts = np.fromiter(map(len, ids), np.int64, len(ids))
+            self._pieces.add([k for k, _ in hard], counts, np.fromiter(chain.from_iterable(ids), np.uint32, int(counts.sum())))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts together and the number of each; null is empty."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        if not self._folds or not len(texts):
+            return self._encode_pieces(texts)
+        easy = pc.match_substring_regex(texts, EASY).to_numpy(zero_copy_only=False)
+        if easy.all():
+            return self._encode_words(texts)
+        parts = (self._encode_pieces(texts.filter(pa.array(~easy))), self._encode_words(texts.filter(pa.array(easy))))
+        n = np.empty(len(texts), np.int64)
+        n[~easy], n[easy] = parts[0][1], parts[1][1]
+        starts, out = np.cumsum(n) - n, np.empty(int(n.sum()), np.uint32)
+        for mine, (ids, counts) in zip((~easy, easy), parts):
+            out[ranges(starts[mine], counts)] = ids
+        return out, n
+
+    def _encode_words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Easy texts of a vocabulary that folds: Arrow sets digits and runs of marks apart and splits at white space."""
+        low = pc.replace_substring(pc.utf8_lower(texts), "\n", " ")
+        lists = pc.split_pattern(pc.replace_substring_regex(low, MARKS, r" \0 "), " ")
+        coded = lists.flatten().dictionary_encode()
+        words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        at = self._words.rows(words)
+        full, used, new = len(self._words.index) >= self._entries, self._words.used, []
         if (at < 0).any():
             unknown = np.flatnonzero(at < 0)
-            new = list(dict.fromkeys(keys[k] for k in unknown))
-            self._add(new)
-            at[unknown] = [self._index[keys[k]] for k in unknown]
-        counts = self._starts[at + 1] - self._starts[at]
-        ids = self._flat[ranges(self._starts[at], counts)]
+            new = [words[k] for k in unknown.tolist()]
+            self._add_words(new)
+            at[unknown] = self._words.rows(new)
+        ids, counts = self._words.gather(at[codes])
+        borders = lists.offsets.to_numpy().astype(np.int64)
+        if full:
+            self._words.forget(new, used)
+            if 2 * len(new) > len(words):
+                self._words = _Table()
+        return ids, np.diff(np.concatenate([[0], np.cumsum(counts)])[borders - borders[0]])
+
+    def _encode_pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        whole: dict[int, list[int]] = {}
+        if not self._folds:
+            odd = pc.match_substring_regex(texts, ODD)
+            for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
+                whole[i] = self._tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids
+            texts = pc.if_else(odd, "", texts)
+        lists = pc.split_pattern(texts, " ")
+        borders = lists.offsets.to_numpy().astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        codes = coded.indices.to_numpy().astype(np.int64)
+        keys = coded.dictionary.to_pylist()
+        if not self._folds and len(texts):
+            # first pieces have no space before them: keys of their own
+            heads = [f" {keys[c]}" for c in codes[borders[:-1] - borders[0]].tolist()]
+            known: dict[str, int] = {}
+            codes[borders[:-1] - borders[0]] = [known.setdefault(h, len(keys) + len(known)) for h in heads]
+            keys += known
+        at = self._pieces.rows(keys)
+        if len(keys) and not self._folds:
+            at[np.bincount(codes, minlength=len(keys)) == 0] = 0  # seen as first pieces only
+        full, used, new = len(self._pieces.index) >= self._entries, self._pieces.used, []
+        if (at < 0).any():
+            unknown = np.flatnonzero(at < 0).tolist()
+            new = [keys[k] for k in unknown]
+            self._add_pieces(new)
+            at[unknown] = self._pieces.rows(new)
+        ids, counts = self._pieces.gather(at[codes]) if len(codes) else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        ends = np.concatenate([[0], np.cumsum(counts)])[borders - borders[0]] if len(borders) else np.zeros(1, np.int64)
+        n = np.diff(ends)
         if full:
-            for k in new:
-                del self._index[k]
-            self._used = used
+            self._pieces.forget(new, used)
             if 2 * len(new) > len(keys):
-                self._reset()
-        ends = np.concatenate([[0], np.cumsum(counts)])[np.cumsum(pieces)]
-        n = np.diff(np.concatenate([[0], ends]))
+                self._pieces, self._words = _Table(), _Table()
         if whole:
-            cuts = np.concatenate([[0], np.cumsum(n)])
-            rows = [np.array(whole[i], np.uint32) if i in whole else ids[cuts[i] : cuts[i + 1]] for i in range(len(texts))]
+            rows = [np.array(whole[i], np.uint32) if i in whole else ids[ends[i] : ends[i + 1]] for i in range(len(n))]
             return np.concatenate(rows), np.array([len(r) for r in rows], np.int64)
         return ids, n
 
