@@ -79,14 +79,15 @@ def compress(ids: np.ndarray, counts: np.ndarray, vocabulary_size: int, params:
                     break
         if not chosen:
             break
-        found = np.sort(np.array(chosen, np.uint32))
-        lookup = np.zeros(1 << 16, bool)
-        lookup[found >> np.uint32(16)] = True
-        maybe = np.flatnonzero(free & lookup[symbols[:-1]])
-        slot = np.minimum(np.searchsorted(found, keys[maybe]), len(found) - 1)
-        ok = found[slot] == keys[maybe]
-        at, slot = maybe[ok], slot[ok]
-        symbols[at] = top + slot
+        found = np.array(chosen, np.uint32)
+        spread = np.uint32(0x9E3779B1)
+        table = np.zeros(1 << 18, np.uint16)  # numbers the pairs by a hash of theirs
+        table[(found * spread) >> np.uint32(14)] = np.arange(len(found))
+        found = found[np.unique(table[(found * spread) >> np.uint32(14)])]  # of pairs with one hash, one
+        table[(found * spread) >> np.uint32(14)] = np.arange(len(found))
+        slot = table[(keys * spread) >> np.uint32(14)]
+        at = np.flatnonzero((found[slot] == keys) & free)
+        symbols[at] = top + slot[at]
         keep = np.ones(len(symbols), bool)
         keep[at + 1] = False  # no match starts where another one ends
         ends = np.cumsum(counts)
@@ -199,9 +200,9 @@ def write(docs: DataFrame, vocabulary_path: str | None = None, end_id: int = END
             _, offsets = utf8(batch.column(1))
             at, n = 0, batch.num_rows
             while at < n:
-                end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + (1 << 20), "right")) - 1)
+                end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + (4 << 20), "right")) - 1)
                 end = min(end, n)
-                ids, counts = enc.encode([t or "" for t in batch.column(1).slice(at, end - at).to_pylist()])
+                ids, counts = enc.encode(batch.column(1).slice(at, end - at))
                 ids = np.insert(ids, np.cumsum(counts), end_id)
                 held.append((batch.column(0).slice(at, end - at).to_pylist(), ids, counts + 1))
                 have += len(ids)
