@@ -4,8 +4,8 @@ A document's set is its distinct shingles of k words, as 64-bit hashes. Document
 start; the join is between classes. Shingles have one global order: by the level of their frequency, which a
 count sketch over all documents gives, then by hash; any order is exact, a rare-first one makes short groups. A
 set's prefix, its first n - ceil(t n) + 1 shingles, must meet the prefix of every set that it links with.
-Candidates pass the length filter and the positional filter; a pair is verified once, by the sets themselves,
-after a suffix filter that bounds the overlap by counts of ranges of hashes.
+Candidates pass the length filter, the positional filter and a suffix filter that bounds the sets' Hamming distance by
+parities of ranges of hashes; a pair is verified once, by the sets themselves.
 
 A large group of near copies shares thousands of shingles, and all its pairs would be quadratic. So links are found
 in waves: in a wave each prefix shingle pairs its classes with one leader, and pairs whose components are known
@@ -23,10 +23,11 @@ import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from fractions import Fraction
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kindred.llm.common import KeyFilter, blocks, byte_codes, cut, drop_table, map_arrow, mix64, prefix_hashes, substring_hashes, utf8
@@ -35,6 +36,7 @@ from kindred.llm.components import components
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 RANGES = 128
+WORDS = ("p0", "p1", "p2", "p3")
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _CODES = byte_codes()[_LOWER]
 
@@ -45,7 +47,7 @@ class JoinParams:
     percent: int = 80  # least similarity
     sketch_bits: int = 18
     bloom_bits: int = 25
-    waves: int = 2
+    waves: int = 1
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, k: int) -> Iterator[np.ndarray]:
@@ -180,41 +182,57 @@ def _entries(docs: DataFrame, levels: np.ndarray, params: JoinParams) -> DataFra
     return map_arrow(docs.select("text"), run, "token long, node long, n int, pos int")
 
 
-def _possible(percent: int):
-    """Length and positional filter on columns n, pos and n2, pos2. At a pair's first common shingle both hold."""
+def _as_partner(rows: DataFrame) -> DataFrame:
+    return rows.select(*[F.col(c).alias(f"{c}2" if c not in WORDS else f"{c}_2") for c in rows.columns])
+
+
+def _need(percent: int) -> Column:
+    return F.ceil((F.col("n") + F.col("n2")) * percent / (100 + percent) - 1e-9)
+
+
+def _possible(percent: int) -> Column:
+    """Length and positional filter of an entry and its partner: at a pair's first common shingle both hold."""
     length = F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent
-    need = F.ceil((F.col("n") + F.col("n2")) * percent / (100 + percent) - 1e-9)
-    return length & (F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2")) >= need)
+    return length & (F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2")) >= _need(percent))
+
+
+def _near(percent: int) -> Column:
+    """The suffix filter. It bounds the Hamming distance of the sets: each hash that only one of them has changes one
+    bit of its parity words at most."""
+    apart = reduce(lambda a, b: a + b, [F.bit_count(F.col(w).bitwiseXOR(F.col(f"{w}_2"))) for w in WORDS])
+    return apart <= F.col("n") + F.col("n2") - 2 * _need(percent)
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, params: JoinParams) -> DataFrame:
-    """(node, members, counts) of the classes that may be in `nodes`, one row for each."""
+    """(node, members) of the classes that may be in `nodes`, one row for each."""
     shared = docs.sparkSession.sparkContext.broadcast(KeyFilter(nodes, params.bloom_bits))
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        known, done, names, values, tables, size = shared.value, set(), [], [], [], 0
+        known, done, names, values, size = shared.value, set(), [], [], 0
 
         def rows() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(values, pa.binary()), pa.array(tables, pa.binary())], ["node", "members", "counts"])
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(values, pa.binary())], ["node", "members"])
 
         for own in sets_of(batch.column(0), params.words):
             node = node_of(own)
-            if node in done:
-                continue
-            if node and known.has(pa.array([node]))[0]:
+            if node and node not in done and known.has(pa.array([node]))[0]:
                 done.add(node)
                 names.append(node)
                 values.append(own.tobytes())
-                tables.append(range_counts(own).tobytes())
                 size += len(values[-1])
                 if size > 4 << 20:
                     yield rows()
-                    names, values, tables, size = [], [], [], 0
+                    names, values, size = [], [], 0
         if names:
             yield rows()
 
-    found = map_arrow(docs.select("text"), run, "node long, members binary, counts binary")
-    return found.groupBy("node").agg(F.any_value("members").alias("members"), F.any_value("counts").alias("counts"))
+    return map_arrow(docs.select("text"), run, "node long, members binary").groupBy("node").agg(F.any_value("members").alias("members"))
+
+
+def parity(own: np.ndarray) -> np.ndarray:
+    """Whether the number of hashes in each of 256 equal ranges is odd, as four words."""
+    odd = (np.bincount((own >> np.uint64(56)).astype(np.int64), minlength=256) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64)
 
 
 def range_counts(own: np.ndarray) -> np.ndarray:
@@ -223,12 +241,9 @@ def range_counts(own: np.ndarray) -> np.ndarray:
 
 
 def may_overlap(x: np.ndarray, y: np.ndarray, need: np.ndarray) -> np.ndarray:
-    """The suffix filter: two sets share no more hashes of a range than the smaller count says. Rows are pairs.
-
-    A count at its limit says nothing.
-    """
-    bound = np.minimum(x, y).astype(np.int64).sum(1)
-    return (bound >= need) | ((x == 65535) & (y == 65535)).any(1)
+    """Whether sets may share `need` hashes: of a range no more than the smaller count. Rows are pairs; a count at its
+    limit says nothing."""
+    return (np.minimum(x, y).astype(np.int64).sum(1) >= need) | ((x == 65535) & (y == 65535)).any(1)
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -238,90 +253,126 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return int((both[1:] == both[:-1]).sum()) >= need
 
 
-def _both(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
-    """Pairs with a column of both classes: two joins, which Spark splits where one class is in many pairs."""
-    left = sets.select(F.col("node").alias("a"), F.col(column).alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col(column).alias("y"))
-    return pairs.join(left, "a").join(right, "b").select(*pairs.columns, "x", "y")
+def _with_both(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
+    """Pairs (a, b) with a column of both classes: two joins, which Spark splits where one class is in many pairs."""
+    left = table.select(F.col("node").alias("a"), F.col(column).alias("x"))
+    right = table.select(F.col("node").alias("b"), F.col(column).alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that link. Only those that pass the suffix filter, on 256 bytes a class, meet their sets."""
-
-    def likely(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, RANGES) for k in (3, 4))
-        return batch.filter(pa.array(may_overlap(x, y, batch.column(2).to_numpy(zero_copy_only=False)))).select(["a", "b"])
+def _verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame, params: JoinParams) -> DataFrame:
+    """Pairs (a, b) that link, as a table. Long sets have too few parity words, so counts by range, 256 bytes a class,
+    go on with the suffix filter; only classes of the pairs that pass are made into sets again."""
 
     def exact(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ok = [similar(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), percent) for x, y in zip(batch.column(2), batch.column(3))]
+        ok = [similar(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), params.percent) for x, y in zip(batch.column(2), batch.column(3))]
         return batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
 
-    left = map_arrow(_both(pairs.select("a", "b", "need"), sets, "counts"), likely, "a long, b long")
-    return map_arrow(_both(cut(left, "likely"), sets, "members"), exact, "a long, b long")
+    def likely(batch: pa.RecordBatch) -> pa.RecordBatch:
+        x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, RANGES) for k in (2, 3))
+        total = x.astype(np.int64).sum(1) + y.astype(np.int64).sum(1)  # of sets with a count at its limit less than the truth
+        return batch.filter(pa.array(may_overlap(x, y, -(-params.percent * total // (100 + params.percent))))).select(["a", "b"])
+
+    named = pairs.select("a").union(pairs.select("b")).distinct()
+    counts = rows.join(named, F.col("node") == F.col("a"), "left_semi").groupBy("node").agg(F.any_value("counts").alias("counts"))
+    pairs = cut(map_arrow(_with_both(pairs, counts, "counts"), likely, "a long, b long"), "likely")
+    sets = cut(_sets(docs, pairs.select("a").union(pairs.select("b")).distinct(), params), "sets")
+    found = cut(map_arrow(_with_both(pairs, sets, "members"), exact, "a long, b long"), "verified")
+    drop_table(sets)
+    return found
 
 
 def classes(docs: DataFrame, params: JoinParams) -> DataFrame:
-    """doc_id, n_shingles and node of every row."""
+    """doc_id, th, n_shingles, node, and the four words of the set's parity, of every row."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        got = [(len(s), node_of(s)) for s in sets_of(batch.column(1), params.words)]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64())], ["doc_id", "n_shingles", "node"])
+        got = [(len(s), node_of(s), *parity(s).tolist(), range_counts(s).tobytes()) for s in sets_of(batch.column(1), params.words)]
+        columns = [pa.array([g[k] for g in got], pa.int64() if k < 2 + len(WORDS) else pa.binary()) for k in range(3 + len(WORDS))]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], ["doc_id", "th", "n_shingles", "node", *WORDS, "counts"])
 
-    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, n_shingles long, node long")
+    return map_arrow(docs.select("doc_id", "text", F.xxhash64("text").alias("th")), run, "doc_id long, th long, n_shingles long, node long, p0 long, p1 long, p2 long, p3 long, counts binary")
 
 
-def node_roots(docs: DataFrame, params: JoinParams) -> DataFrame | None:
-    """(node, root) of the classes that link with others; null when none does."""
-    entries = cut(_entries(docs, _sketch(docs, params), params), "prefixes")
-    groups = entries.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select(F.col("token").alias("t"))
+def node_roots(docs: DataFrame, own: DataFrame, params: JoinParams) -> DataFrame | None:
+    """(node, root) of the classes that link with others; null when none does. own: the table of classes()."""
+    prefixes = cut(_entries(docs, _sketch(docs, params), params), "prefixes")
+    groups = prefixes.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select(F.col("token").alias("t"))
     # shingles that meet in prefixes; a class that several tasks met is named once from here on
-    entries = cut(entries.join(groups, F.col("token") == F.col("t"), "left_semi").distinct(), "shared-prefixes")
+    entries = cut(prefixes.join(groups, F.col("token") == F.col("t"), "left_semi").distinct(), "shared-prefixes")
+    drop_table(prefixes)
     if entries.isEmpty():
         return None
-    sets = cut(_sets(docs, entries.select("node").distinct(), params), "sets")
+    words = own.where("node <> 0").groupBy(F.col("node").alias("c")).agg(*[F.any_value(w).alias(w) for w in WORDS])
+    words = cut(words, "parities")
     links = tried = roots = None
     for wave in range(params.waves + 1):
-        rows = entries
+        rows, open_ = entries, None
         if roots is not None:
             named = roots.select(F.col("node").alias("r"), "root")
             rows = entries.join(named, F.col("node") == F.col("r"), "left").withColumn("root", F.coalesce("root", "node")).drop("r")
             mixed = rows.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select(F.col("token").alias("t"))
-            rows = cut(rows.join(mixed, F.col("token") == F.col("t"), "left_semi"), "open-prefixes")
+            rows = open_ = cut(rows.join(mixed, F.col("token") == F.col("t"), "left_semi"), "open-prefixes")
         else:
             rows = rows.withColumn("root", F.col("node"))
-        other = [F.col("token").alias("token2"), F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("root").alias("root2")]
         if wave < params.waves:
             best = F.min_by(F.struct("node", "n", "pos", "root"), F.struct(F.xxhash64("node", F.lit(wave)), "node"))
-            partner = rows.groupBy("token").agg(best.alias("x")).select("token", "x.*").select(*other)
-        else:
-            partner = rows.select(*other)
-        met = rows.join(partner, F.col("token") == F.col("token2")).where((F.col("root") != F.col("root2")) & (F.col("node") != F.col("node2")) & _possible(params.percent))
-        need = F.ceil((F.col("n") + F.col("n2")) * params.percent / (100 + params.percent) - 1e-9).cast("long").alias("need")
-        pairs = met.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"), need).distinct()
+            partner = _as_partner(rows.groupBy("token").agg(best.alias("x")).select("token", "x.*"))
+            met = rows.join(partner, F.col("token") == F.col("token2")).where((F.col("root") != F.col("root2")) & (F.col("node") != F.col("node2")) & _possible(params.percent))
+            met = met.select("node", "n", "node2", "n2").distinct()
+            met = met.join(words, F.col("node") == F.col("c")).drop("c")
+            met = met.join(words.select(F.col("c"), *[F.col(w).alias(f"{w}_2") for w in WORDS]), F.col("node2") == F.col("c")).where(_near(params.percent))
+        else:  # few rows are in open groups: they carry their parities, and the join itself tests them
+            rows = rows.join(words, F.col("node") == F.col("c")).drop("c")
+            partner = _as_partner(rows)
+            met = rows.join(partner, F.col("token") == F.col("token2")).where((F.col("root") != F.col("root2")) & (F.col("node") < F.col("node2")) & _possible(params.percent) & _near(params.percent))
+        pairs = met.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = cut(pairs, "pairs")
+        if open_ is not None:
+            drop_table(open_)
         if pairs.isEmpty():
             continue
-        tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
-        found = cut(_verified(pairs, sets, params.percent), "verified")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        found = _verified(docs, own, pairs, params)
         links = found if links is None else links.unionByName(found)
         roots = cut(components(links), "roots")
-    for t in (sets, entries):
-        drop_table(t)
+    drop_table(entries)
+    drop_table(words)
     return roots
 
 
 def near_duplicates(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest id of the component) of every row."""
+    group = grouped(docs, params)
+    least = group.where("node <> 0").groupBy(F.col("root").alias("r")).agg(F.min("doc_id").alias("least"))
+    joined = group.join(least, (F.col("root") == F.col("r")) & (F.col("node") != 0), "left")
+    return joined.select("doc_id", "n_shingles", F.when(F.col("node") == 0, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+
+
+def grouped(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
+    """doc_id, th (a hash of the text), n_shingles, node and root (the component's name) of every row, as a table."""
     rows = cut(classes(docs, params), "classes")
-    roots = node_roots(docs, params)
+    roots = node_roots(docs, rows, params)
     if roots is None:
         group = rows.withColumn("root", F.col("node"))
     else:
         named = roots.select(F.col("node").alias("r"), "root")
         group = rows.join(named, F.col("node") == F.col("r"), "left").withColumn("root", F.coalesce("root", "node")).drop("r")
-    group = cut(group, "groups")
-    least = group.where("node <> 0").groupBy(F.col("root").alias("r")).agg(F.min("doc_id").alias("least"))
-    joined = group.join(least, (F.col("root") == F.col("r")) & (F.col("node") != 0), "left")
-    return joined.select("doc_id", "n_shingles", F.when(F.col("node") == 0, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+    return cut(group.select("doc_id", "th", "n_shingles", "node", "root"), "groups")
+
+
+def one_of_each(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
+    """The rows of docs without near copies: of each component the row of the smallest id, of equal ids the one of the
+    smallest hash of its text, of repeated rows one. Rows with an empty set have no copies but exact ones.
+
+    The choice is an aggregate of ids and hashes; texts are joined to it, not grouped.
+    """
+    found, lone = grouped(docs, params), F.col("node") == 0
+    group = found.select("doc_id", "th", lone.alias("empty"), F.when(lone, F.col("th")).otherwise(F.col("root")).alias("part"))
+    kept = group.groupBy("empty", "part").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("x")).select("x.doc_id", "x.th").distinct()
+    kept = kept.select(F.col("doc_id").alias("k1"), F.col("th").alias("k2"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("k_id"), F.xxhash64("text").alias("k_th"))
+    joined = rows.join(kept, F.col("k_id").eqNullSafe(F.col("k1")) & (F.col("k_th") == F.col("k2")), "left_semi")
+    # repeated rows share id and text; few of them are left
+    return joined.groupBy("k_id", "k_th").agg(F.first("row").alias("row")).select("row.*")
