@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_ROWS = 2000
 SPACE_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
@@ -72,7 +73,11 @@ def blocks(offsets: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int
 
 
 def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch], schema: str) -> DataFrame:
-    """mapInArrow of a function of one batch."""
+    """mapInArrow of a function of one batch. Batches of texts are kept small, in the worker and in the JVM beside it:
+    where the session has Spark's default of 10,000 rows, BATCH_ROWS takes its place."""
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -82,7 +82,7 @@ class Encoder:
     """Encodes Arrow arrays of texts. The caches keep their first `entries` strings, the frequent ones among them;
     when most strings of an array are unknown to a full cache, both start anew."""
 
-    def __init__(self, path: str, entries: int = 500_000):
+    def __init__(self, path: str, entries: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
