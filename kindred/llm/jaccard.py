@@ -5,7 +5,7 @@ start; the join is between classes. Shingles have one global order: by the level
 count sketch over all documents gives, then by hash; any order is exact, a rare-first one makes short groups. A
 set's prefix, its first n - ceil(t n) + 1 shingles, must meet the prefix of every set that it links with.
 Candidates pass the length filter, the positional filter and a suffix filter that bounds the sets' Hamming distance by
-parities of ranges of hashes; a pair is verified once, by the sets themselves.
+parities and counts of ranges of hashes; a pair is verified once, by the sets themselves.
 
 A large group of near copies shares thousands of shingles, and all its pairs would be quadratic. So links are found
 in waves: in a wave each prefix shingle pairs its classes with one leader, and pairs whose components are known
@@ -20,6 +20,7 @@ null component. Very long texts are sets like others. An empty table gives an em
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from fractions import Fraction
@@ -35,7 +36,8 @@ from kindred.llm.components import components
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-RANGES = 128
+SLICES = 64
+FAN_IN = 64
 WORDS = ("p0", "p1", "p2", "p3")
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _CODES = byte_codes()[_LOWER]
@@ -45,7 +47,7 @@ _CODES = byte_codes()[_LOWER]
 class JoinParams:
     words: int = 5
     percent: int = 80  # least similarity
-    sketch_bits: int = 18
+    sketch_bits: int = 22
     bloom_bits: int = 25
     waves: int = 1
 
@@ -95,38 +97,50 @@ def node_of(own: np.ndarray) -> int:
 def _sketch(docs: DataFrame, params: JoinParams) -> np.ndarray:
     """Frequency levels of the shingles by 2**sketch_bits cells: how often the mean cell fits into theirs, as a logarithm.
 
-    Each task adds up its own cells; sums meet in a tree, 32 at a time. What reaches the driver has a fixed size.
+    Each task adds up its own cells and hands them on in packed slices; slices meet in a tree, FAN_IN tasks at a
+    time. What reaches the driver has a fixed size.
     """
     size, shift = 1 << params.sketch_bits, np.uint64(64 - params.sketch_bits)
+    width = max(1, size // SLICES)
+    kind = "part int, slice int, cells binary"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(size, np.int64)
+        cells, held, waiting, part = np.zeros(size, np.int64), [], 0, 0
+
+        def add_held() -> None:
+            np.add(cells, np.bincount((np.concatenate(held) >> shift).astype(np.int64), minlength=size), out=cells)
+            held.clear()
+
         for batch in batches:
-            held, size_held = [], 0
+            part = batch.column(1)[0].as_py() if batch.num_rows else part
             for own in sets_of(batch.column(0), params.words):
                 held.append(own)
-                size_held += len(own)
-                if size_held > size:
-                    cells += np.bincount((np.concatenate(held) >> shift).astype(np.int64), minlength=size)
-                    held, size_held = [], 0
-            if held:
-                cells += np.bincount((np.concatenate(held) >> shift).astype(np.int64), minlength=size)
-        yield pa.RecordBatch.from_arrays([pa.array([cells.tobytes()], pa.binary())], ["cells"])
+                waiting += len(own)
+                if waiting > size:
+                    add_held()
+                    waiting = 0
+        if held:
+            add_held()
+        slices = [i for i in range(size // width) if cells[i * width : (i + 1) * width].any()]
+        packed = [zlib.compress(cells[i * width : (i + 1) * width].tobytes(), 1) for i in slices]
+        yield pa.RecordBatch.from_arrays([pa.array([part] * len(slices), pa.int32()), pa.array(slices, pa.int32()), pa.array(packed, pa.binary())], ["part", "slice", "cells"])
 
     def add(table: pa.Table) -> pa.Table:
-        total = sum((np.frombuffer(c.as_py(), np.int64) for c in table["cells"]), np.zeros(size, np.int64))
-        return pa.table({"cells": pa.array([total.tobytes()], pa.binary())})
-
-    sums = cut(docs.select("text").mapInArrow(count, "cells binary"), "sketch")
-    while (n := sums.count()) > 1:
-        groups = F.pmod(F.xxhash64("cells"), F.lit(-(-n // 32)))
-        merged = cut(sums.groupBy(groups.alias("g")).applyInArrow(add, "cells binary"), "sketch")
-        if merged.count() == n:
-            break
-        sums = merged
+        total = np.zeros(width, np.int64)
+        for c in table["cells"]:
+            total += np.frombuffer(zlib.decompress(c.as_py()), np.int64)
+        return pa.table({"part": pa.array([table["part"][0].as_py() // FAN_IN], pa.int32()), "slice": table["slice"][:1], "cells": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+
+    rows = docs.select("text", F.spark_partition_id().alias("part"))
+    parts = rows.rdd.getNumPartitions()
+    sums = tasks = cut(rows.mapInArrow(count, kind), "sketch")
+    while parts > 1:
+        sums = sums.groupBy("slice", F.floor(F.col("part") / FAN_IN).alias("g")).applyInArrow(add, kind)
+        parts = -(-parts // FAN_IN)
     cells = np.zeros(size, np.int64)
-    for r in sums.collect():  # one row
-        cells = cells + np.frombuffer(r.cells, np.int64)
+    for r in sums.toLocalIterator():  # a row for each slice
+        cells[r.slice * width : (r.slice + 1) * width] += np.frombuffer(zlib.decompress(r.cells), np.int64)
+    drop_table(tasks)
     mean = max(1.0, float(cells.mean()))
     return np.floor(np.log2(np.maximum(cells / mean, 1.0)) * 2).astype(np.uint8)
 
@@ -203,22 +217,25 @@ def _near(percent: int) -> Column:
     return apart <= F.col("n") + F.col("n2") - 2 * _need(percent)
 
 
-def _sets(docs: DataFrame, nodes: DataFrame, params: JoinParams) -> DataFrame:
-    """(node, members) of the classes that may be in `nodes`, one row for each."""
-    shared = docs.sparkSession.sparkContext.broadcast(KeyFilter(nodes, params.bloom_bits))
+def _sets(docs: DataFrame, own: DataFrame, named: DataFrame, params: JoinParams) -> DataFrame:
+    """(node, members) of the classes a of `named`, one row for each, from one text of each class. A filter of text
+    hashes spares other texts; what it lets through by chance joins nothing."""
+    texts = own.join(named, F.col("node") == F.col("a"), "left_semi").groupBy("node").agg(F.min("th").alias("th")).select("th")
+    shared = docs.sparkSession.sparkContext.broadcast(KeyFilter(texts, params.bloom_bits))
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        known, done, names, values, size = shared.value, set(), [], [], 0
+        done, names, values, size = set(), [], [], 0
 
         def rows() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(values, pa.binary())], ["node", "members"])
 
-        for own in sets_of(batch.column(0), params.words):
-            node = node_of(own)
-            if node and node not in done and known.has(pa.array([node]))[0]:
+        batch = batch.filter(pa.array(shared.value.has(batch.column(1))))
+        for members in sets_of(batch.column(0), params.words):
+            node = node_of(members)
+            if node and node not in done:
                 done.add(node)
                 names.append(node)
-                values.append(own.tobytes())
+                values.append(members.tobytes())
                 size += len(values[-1])
                 if size > 4 << 20:
                     yield rows()
@@ -226,7 +243,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, params: JoinParams) -> DataFrame:
         if names:
             yield rows()
 
-    return map_arrow(docs.select("text"), run, "node long, members binary").groupBy("node").agg(F.any_value("members").alias("members"))
+    return map_arrow(docs.select("text", F.xxhash64("text").alias("th")), run, "node long, members binary").groupBy("node").agg(F.any_value("members").alias("members"))
 
 
 def parity(own: np.ndarray) -> np.ndarray:
@@ -236,14 +253,20 @@ def parity(own: np.ndarray) -> np.ndarray:
 
 
 def range_counts(own: np.ndarray) -> np.ndarray:
-    """How many hashes fall into each of RANGES equal ranges, at most 65,535."""
-    return np.minimum(np.bincount((own >> np.uint64(64 - 7)).astype(np.int64), minlength=RANGES), 65535).astype(np.uint16)
+    """How many hashes fall into each of 32 to 4,096 equal ranges, about two a range, at most 65,535."""
+    bits = min(12, max(5, (len(own) // 2).bit_length()))
+    return np.minimum(np.bincount((own >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 65535).astype(np.uint16)
 
 
-def may_overlap(x: np.ndarray, y: np.ndarray, need: np.ndarray) -> np.ndarray:
-    """Whether sets may share `need` hashes: of a range no more than the smaller count. Rows are pairs; a count at its
-    limit says nothing."""
-    return (np.minimum(x, y).astype(np.int64).sum(1) >= need) | ((x == 65535) & (y == 65535)).any(1)
+def may_overlap(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether sets of these range counts may link: of a range they share no more than the smaller count. A count at
+    its limit says nothing."""
+    if (x == 65535).any() or (y == 65535).any():
+        return True
+    n, m = int(x.sum(dtype=np.int64)), int(y.sum(dtype=np.int64))
+    width = min(len(x), len(y))
+    x, y = (v.reshape(width, -1).sum(1, dtype=np.int64) for v in (x, y))
+    return int(np.minimum(x, y).sum()) >= least_overlap(n, m, percent)
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -260,28 +283,59 @@ def _with_both(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
 
 
-def _verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame, params: JoinParams) -> DataFrame:
-    """Pairs (a, b) that link, as a table. Long sets have too few parity words, so counts by range, 256 bytes a class,
-    go on with the suffix filter; only classes of the pairs that pass are made into sets again."""
+def _likely(own: DataFrame, pairs: DataFrame, params: JoinParams) -> DataFrame:
+    """Pairs (a, b) that may link, as a table. Long sets have too few parity words, so counts by range go on with the
+    suffix filter."""
+
+    def likely(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ok = [may_overlap(np.frombuffer(x.as_py(), np.uint16), np.frombuffer(y.as_py(), np.uint16), params.percent) for x, y in zip(batch.column(2), batch.column(3))]
+        return batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
+
+    named = pairs.select("a").union(pairs.select("b")).distinct()
+    counts = own.join(named, F.col("node") == F.col("a"), "left_semi").groupBy("node").agg(F.any_value("counts").alias("counts"))
+    return cut(map_arrow(_with_both(pairs, counts, "counts"), likely, "a long, b long"), "likely")
+
+
+def _verified(docs: DataFrame, own: DataFrame, pairs: DataFrame, roots: DataFrame | None, params: JoinParams) -> DataFrame:
+    """Links (a, b) among the pairs, as a table; only classes of pairs that may link are made into sets again.
+
+    With roots, one pair of each two components is verified first. Where it links, their other pairs add nothing; all
+    that are left between different components are verified after it.
+    """
 
     def exact(batch: pa.RecordBatch) -> pa.RecordBatch:
         ok = [similar(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), params.percent) for x, y in zip(batch.column(2), batch.column(3))]
         return batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
 
-    def likely(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, RANGES) for k in (2, 3))
-        total = x.astype(np.int64).sum(1) + y.astype(np.int64).sum(1)  # of sets with a count at its limit less than the truth
-        return batch.filter(pa.array(may_overlap(x, y, -(-params.percent * total // (100 + params.percent))))).select(["a", "b"])
+    def linked(pairs: DataFrame) -> DataFrame:
+        return cut(map_arrow(_with_both(pairs, sets, "members"), exact, "a long, b long"), "verified")
 
-    named = pairs.select("a").union(pairs.select("b")).distinct()
-    counts = rows.join(named, F.col("node") == F.col("a"), "left_semi").groupBy("node").agg(F.any_value("counts").alias("counts"))
-    pairs = cut(map_arrow(_with_both(pairs, counts, "counts"), likely, "a long, b long"), "likely")
-    sets = cut(_sets(docs, pairs.select("a").union(pairs.select("b")).distinct(), params), "sets")
-    found = cut(map_arrow(_with_both(pairs, sets, "members"), exact, "a long, b long"), "verified")
+    pairs = _likely(own, pairs, params)
+    sets = cut(_sets(docs, own, pairs.select("a").union(pairs.select("b")).distinct(), params), "sets")
+    if roots is None:
+        found = linked(pairs)
+    else:
+        rooted = cut(_rooted(pairs, roots), "rooted")
+        low, high = F.least("root_a", "root_b"), F.greatest("root_a", "root_b")
+        first = cut(rooted.groupBy(low.alias("low"), high.alias("high")).agg(F.min(F.struct("a", "b")).alias("x")).select("x.a", "x.b"), "first")
+        found = linked(first)
+        merged = cut(components(_rooted(found, roots).select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))), "merged")
+        left = _rooted(rooted.select(F.col("root_a").alias("a"), F.col("root_b").alias("b"), F.struct("a", "b").alias("x")), merged)
+        left = left.where("root_a <> root_b").select("x.a", "x.b").join(first, ["a", "b"], "left_anti")
+        found = found.unionByName(linked(cut(left, "left")))
+        drop_table(rooted)
     drop_table(sets)
     return found
 
 
+def _rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs (a, b) with the components of both; a class without a row in roots is its own."""
+    for side in ("a", "b"):
+        named = roots.select(F.col("node").alias("r"), "root")
+        pairs = pairs.join(named, F.col(side) == F.col("r"), "left").withColumn(f"root_{side}", F.coalesce("root", side)).drop("r", "root")
+    return pairs
+
+
 def classes(docs: DataFrame, params: JoinParams) -> DataFrame:
     """doc_id, th, n_shingles, node, and the four words of the set's parity, of every row."""
 
@@ -334,7 +388,7 @@ def node_roots(docs: DataFrame, own: DataFrame, params: JoinParams) -> DataFrame
         if pairs.isEmpty():
             continue
         tried = pairs if tried is None else tried.unionByName(pairs)
-        found = _verified(docs, own, pairs, params)
+        found = _verified(docs, own, pairs, roots, params)
         links = found if links is None else links.unionByName(found)
         roots = cut(components(links), "roots")
     drop_table(entries)
