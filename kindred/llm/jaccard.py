@@ -217,10 +217,16 @@ def _near(percent: int) -> Column:
     return apart <= F.col("n") + F.col("n2") - 2 * _need(percent)
 
 
+def _among(rows: DataFrame, column: str, keys: DataFrame, params: JoinParams) -> DataFrame:
+    """The rows that may be among the keys (one column): a filter of a fixed size, so that few others are shuffled."""
+    shared, at = rows.sparkSession.sparkContext.broadcast(KeyFilter(keys, params.bloom_bits)), rows.columns.index(column)
+    return map_arrow(rows, lambda batch: batch.filter(pa.array(shared.value.has(batch.column(at)))), rows._jdf.schema().toDDL())
+
+
 def _sets(docs: DataFrame, own: DataFrame, named: DataFrame, params: JoinParams) -> DataFrame:
     """(node, members) of the classes a of `named`, one row for each, from one text of each class. A filter of text
     hashes spares other texts; what it lets through by chance joins nothing."""
-    texts = own.join(named, F.col("node") == F.col("a"), "left_semi").groupBy("node").agg(F.min("th").alias("th")).select("th")
+    texts = _among(own.select("node", "th"), "node", named, params).groupBy("node").agg(F.min("th").alias("th")).select("th")
     shared = docs.sparkSession.sparkContext.broadcast(KeyFilter(texts, params.bloom_bits))
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -292,7 +298,7 @@ def _likely(own: DataFrame, pairs: DataFrame, params: JoinParams) -> DataFrame:
         return batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
 
     named = pairs.select("a").union(pairs.select("b")).distinct()
-    counts = own.join(named, F.col("node") == F.col("a"), "left_semi").groupBy("node").agg(F.any_value("counts").alias("counts"))
+    counts = _among(own.select("node", "counts"), "node", named, params).groupBy("node").agg(F.any_value("counts").alias("counts"))
     return cut(map_arrow(_with_both(pairs, counts, "counts"), likely, "a long, b long"), "likely")
 
 
@@ -351,9 +357,11 @@ def node_roots(docs: DataFrame, own: DataFrame, params: JoinParams) -> DataFrame
     """(node, root) of the classes that link with others; null when none does. own: the table of classes()."""
     prefixes = cut(_entries(docs, _sketch(docs, params), params), "prefixes")
     groups = prefixes.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select(F.col("token").alias("t"))
+    groups = cut(groups, "shared-tokens")
     # shingles that meet in prefixes; a class that several tasks met is named once from here on
-    entries = cut(prefixes.join(groups, F.col("token") == F.col("t"), "left_semi").distinct(), "shared-prefixes")
+    entries = cut(_among(prefixes, "token", groups, params).join(groups, F.col("token") == F.col("t"), "left_semi").distinct(), "shared-prefixes")
     drop_table(prefixes)
+    drop_table(groups)
     if entries.isEmpty():
         return None
     words = own.where("node <> 0").groupBy(F.col("node").alias("c")).agg(*[F.any_value(w).alias(w) for w in WORDS])
