@@ -109,3 +109,17 @@ def test_components(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {x: find(x) for x in root}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_range_counts_never_turn_a_link_away():
+    rng = np.random.default_rng(5)
+    for n in (1, 3, 40, 700, 20_000):
+        for share in (0.7, 0.8, 0.9, 1.0):
+            whole = np.unique(rng.integers(0, 1 << 63, 2 * n, dtype=np.uint64) << np.uint64(1))
+            a = np.sort(whole[rng.permutation(len(whole))[:n]])
+            b = np.sort(np.concatenate([a[: int(share * n)], np.setdiff1d(whole, a)[: n // 20]]))
+            if len(b) and jaccard.similar(a, b, 80):
+                assert jaccard.may_overlap(jaccard.range_counts(a), jaccard.range_counts(b), 80)
+    full = np.full(32, 65535, np.uint16)
+    assert jaccard.may_overlap(full, np.ones(32, np.uint16), 80)
+    assert not jaccard.may_overlap(np.ones(32, np.uint16), np.repeat(np.array([2, 0], np.uint16), 16), 80)
