@@ -160,6 +160,19 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", lang: st
     return map_arrow(docs.select(*[f"`{f.name}`" for f in out]), run, schema)
 
 
+def lettered(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs without the rows whose text is null or has no letter, those that any model calls 'und'."""
+    at = docs.columns.index(text)
+
+    def run(batch: pa.RecordBatch):
+        raw, offsets = utf8(batch.column(at))
+        for i, j in blocks(offsets):
+            _, _, letters = _trigrams(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            yield batch.slice(i, j - i).filter(pa.array(letters))
+
+    return map_arrow(docs, run, docs.schema)
+
+
 def held_out(doc_id: Column) -> Column:
     """True for documents kept out of training; false for a null id, which isn't trained on either."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))

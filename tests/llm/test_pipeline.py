@@ -50,3 +50,16 @@ def test_deduplication_of_odd_rows(spark, odd, empty):
     got = sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in jaccard.one_of_each(odd).collect())
     assert [g[1] for g in got] == [-7, 1, 2, 3, 4, 5, 6, 8, 0]
     assert jaccard.one_of_each(odd).columns == odd.columns and jaccard.one_of_each(empty).count() == 0
+
+
+def test_language_stage_without_labels(spark, odd):
+    stage, docs = dict(corpus_pipeline.STAGES)["language"], documents(spark, SF)
+    extra = spark.createDataFrame([(9001, "12 -- 34", "en", "src1", 8), (9002, None, None, None, None)], docs.schema)
+    bare = docs.withColumn("lang", F.lit(None).cast("string"))
+    kept = stage(spark, bare.unionByName(extra.withColumn("lang", F.lit(None).cast("string"))), SF)
+    assert kept.schema == bare.schema and Counter(map(tuple, kept.collect())) == Counter(map(tuple, bare.collect()))
+    # labels on rows that nothing is learned from: null ids, and ids that are held out
+    unlearned = docs.withColumn("lang", F.when(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.col("lang")))
+    assert stage(spark, unlearned, SF).count() == docs.count()
+    no_lang = odd.withColumn("lang", F.lit(None).cast("string"))
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in stage(spark, no_lang, SF).collect()) == [(False, -7), (False, 3), (False, 3), (False, 5), (False, 8), (True, 0)]
