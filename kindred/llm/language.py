@@ -1,7 +1,8 @@
 """Operator 1, language ID: bit-sliced Bloom filters over character trigrams.
 
-One array of words holds all filters: bit l of a word belongs to language l, so one AND of the words at
-a trigram's hash positions tells every language that contains it. A text's hits of each language are
+A row of 64-bit words holds the filters of 64 languages: bit l % 64 of row l // 64 belongs to language l, so one
+AND of a row's words at a trigram's hash positions tells every one of its languages that contains it. Every label
+that isn't null is learned; there are as many rows as the labels need. A text's hits of each language are
 popcounts over its trigrams, corrected for that filter's measured false-positive rate.
 
 Cases: null text, or text without a letter: 'und', score 0. No labelled rows: 'und' for all. Letters but
@@ -27,7 +28,6 @@ from kindred.llm.common import blocks, map_arrow, mix64, utf8
 @dataclass(frozen=True)
 class LanguageParams:
     train_docs: int = 400  # labelled documents a language, those of least hash of doc_id
-    max_languages: int = 60  # the most frequent labels
     grams: int = 20_000  # trigrams a language, the most frequent ones
     share: float = 0.4  # a language takes a trigram with at least this share of its largest frequency anywhere
     bits: int = 20  # log2 of the filters' length
@@ -37,7 +37,7 @@ class LanguageParams:
 @dataclass(frozen=True)
 class LanguageModel:
     languages: tuple[str, ...]
-    words: bytes  # uint64 words, bit l for language l
+    words: bytes  # rows of uint64 words, bit l % 64 of row l // 64 for language l
     false_rate: tuple[float, ...]
     bits: int
     hashes: int
@@ -86,42 +86,47 @@ def train(labelled: DataFrame, params: LanguageParams = LanguageParams()) -> Lan
     known = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
         F.col("doc_id").alias("d"), F.col("text").alias("t"), F.col("lang").alias("l")
     )
-    top = known.groupBy("l").count().orderBy(F.col("count").desc(), "l").limit(params.max_languages).collect()
+    top = known.groupBy("l").count().orderBy(F.col("count").desc(), "l").collect()
     languages = tuple(r.l for r in top)
     if not languages:
         return LanguageModel((), b"", (), params.bits, params.hashes)
     order = Window.partitionBy("l").orderBy(F.xxhash64("d"), "d")
-    ids = known.where(F.col("l").isin(*languages)).select("d", "l").withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= params.train_docs)
-    chosen = known.join(F.broadcast(ids.select("d", "l").distinct()), ["d", "l"], "left_semi")  # at most max_languages * train_docs ids
+    ids = known.select("d", "l").withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= params.train_docs).select("d", "l").distinct()
+    few = len(languages) * params.train_docs <= 1 << 18  # ids
+    chosen = known.join(F.broadcast(ids) if few else ids, ["d", "l"], "left_semi")
+    number = {lang: i for i, lang in enumerate(languages)}
 
     def count(batch: pa.RecordBatch):
         raw, offsets = utf8(batch.column(0))
-        langs = np.array(batch.column(1).to_pylist(), dtype=object)
+        langs = np.array([number[x] for x in batch.column(1).to_pylist()], np.int32)
         for i, j in blocks(offsets):
             keys, counts, _ = _trigrams(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             owner = np.repeat(langs[i:j], counts)
-            for lang in set(langs[i:j]):
-                grams, n = np.unique(keys[owner == lang], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams.astype(np.int64)), pa.array(n)], ["l", "g", "n"])
+            by = np.lexsort((keys, owner))
+            keys, owner = keys[by], owner[by]
+            first = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1]))[: len(keys)])
+            n = np.diff(np.append(first, len(keys)))
+            yield pa.RecordBatch.from_arrays([pa.array(owner[first]), pa.array(keys[first].astype(np.int64)), pa.array(n)], ["l", "g", "n"])
 
-    sums = map_arrow(chosen.select("t", "l"), count, "l string, g long, n long").groupBy("l", "g").agg(F.sum("n").alias("n"))
+    sums = map_arrow(chosen.select("t", "l"), count, "l int, g long, n long").groupBy("l", "g").agg(F.sum("n").alias("n"))
     best = Window.partitionBy("l").orderBy(F.col("n").desc(), "g")
-    kept = sums.withColumn("rn", F.row_number().over(best)).where((F.col("rn") <= params.grams) & (F.col("n") > 1)).select("l", "g", "n").toPandas()
-    kept["p"] = kept["n"] / kept.groupby("l")["n"].transform("sum")
-    kept = kept[kept["p"] >= params.share * kept.groupby("g")["p"].transform("max")]
-    words = np.zeros(1 << params.bits, np.uint64)
-    for bit, lang in enumerate(languages):
-        keys = kept.loc[kept["l"] == lang, "g"].to_numpy().astype(np.uint64)
-        for p in _positions(keys, params.bits, params.hashes):
-            words[p] |= np.uint64(1 << bit)
-    fill = [float(((words >> np.uint64(b)) & np.uint64(1)).mean()) for b in range(len(languages))]
+    kept = sums.withColumn("rn", F.row_number().over(best)).where((F.col("rn") <= params.grams) & (F.col("n") > 1))
+    p = F.col("n") / F.sum("n").over(Window.partitionBy("l"))
+    most = F.max("p").over(Window.partitionBy("g"))
+    kept = kept.withColumn("p", p).withColumn("most", most).where(F.col("p") >= params.share * F.col("most")).select("l", "g").toArrow()
+    owner, keys = kept["l"].to_numpy(), kept["g"].to_numpy().astype(np.uint64)
+    words = np.zeros((-(-len(languages) // 64), 1 << params.bits), np.uint64)
+    for i in range(len(languages)):
+        for at in _positions(keys[owner == i], params.bits, params.hashes):
+            words[i // 64, at] |= np.uint64(1 << i % 64)
+    fill = [float(((words[i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean()) for i in range(len(languages))]
     return LanguageModel(languages, words.tobytes(), tuple(f**params.hashes for f in fill), params.bits, params.hashes)
 
 
 def predict_batch(model: LanguageModel, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, scores, and the corrected hit rate of every language."""
     raw, offsets = utf8(texts)
-    words = np.frombuffer(model.words, np.uint64)
+    words = np.frombuffer(model.words, np.uint64).reshape(-1, 1 << model.bits)
     names, scores, rates = [], [], []
     k = len(model.languages)
     false = np.array(model.false_rate)
@@ -129,13 +134,17 @@ def predict_batch(model: LanguageModel, texts: pa.Array) -> tuple[list[str], np.
         keys, counts, letters = _trigrams(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
         rate = np.zeros((j - i, max(k, 1)))
         if k and len(keys):
-            both = np.full(len(keys), ~np.uint64(0))
-            for p in _positions(keys, model.bits, model.hashes):
-                both &= words[p]
+            at = _positions(keys, model.bits, model.hashes)
             starts = (np.cumsum(counts) - counts)[counts > 0]
-            for b in range(k):
-                hits = np.add.reduceat((both >> np.uint64(b)) & np.uint64(1), starts)
-                rate[counts > 0, b] = hits / counts[counts > 0]
+            for w, filters in enumerate(words):
+                both = np.full(len(keys), ~np.uint64(0))
+                for p in at:
+                    both &= filters[p]
+                any_of = int(np.bitwise_or.reduce(both))
+                for b in range(64 * w, min(64 * w + 64, k)):
+                    if any_of >> (b - 64 * w) & 1:
+                        hits = np.add.reduceat((both >> np.uint64(b - 64 * w)) & np.uint64(1), starts)
+                        rate[counts > 0, b] = hits / counts[counts > 0]
             rate = np.clip((rate - false) / (1 - false), 0, 1)
         best = rate.argmax(1)  # languages stand in order of their training rows
         top, total = rate[np.arange(j - i), best], rate.sum(1)
@@ -150,7 +159,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", lang: st
     """docs with the predicted language and its score, the best rate times its share of all rates."""
     out = [f for f in docs.schema.fields if f.name not in (lang, score)]
     at = [f.name for f in out].index(text)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 8 MB at the default size of the filters
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 8 MB for each 64 languages at the default size of the filters
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         names, scores, _ = predict_batch(shared.value, batch.column(at))

@@ -51,6 +51,20 @@ def test_language_filters_hold_their_grams():
     assert counts.tolist() == [0, 4] and letters.tolist() == [False, True]
 
 
+def test_language_learns_every_label(spark):
+    def text(i, seed):  # letters of its own for each language
+        rng = np.random.default_rng(seed)
+        return " ".join("".join(chr(0x4E00 + 12 * i + c) for c in rng.integers(0, 12, 3)) for _ in range(400))
+
+    n = 130  # three words of 64 bits; the rarer half has fewer rows
+    rows = [(10 * i + r, text(i, 10 * i + r), f"l{i:03d}") for i in range(n) for r in range(3 if i < 64 else 2)]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == tuple(f"l{i:03d}" for i in range(n)) and len(model.false_rate) == n
+    new = spark.createDataFrame([(i, text(i, 99_000 + i), f"l{i:03d}") for i in range(n)], "doc_id long, text string, lang string")
+    got = language.identify(new, model).collect()
+    assert len(got) == n and all(r.lang_pred == r.lang and r.score > 0 for r in got)
+
+
 # --- media
 def test_media_round_trip(spark, odd, empty):
     got = media.media_features(odd).collect()
