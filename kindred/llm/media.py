@@ -1,8 +1,8 @@
 """Operator 3, media columns: texts as WAV files and spectral-peak fingerprints.
 
 A text's UTF-8 bytes, padded with spaces to a positive multiple of 192, are the samples of an 8-bit mono
-WAV file. The stored file is read back with the wave module; features come from what was read: a
-short-time Fourier transform of 192-sample frames, the strongest local peaks of each frame, and a hash of
+WAV file. write() stores the files in a table in the shared folder; read() opens the stored files with the
+wave module, and digests and features come from what was read: a short-time Fourier transform of 192-sample frames, the strongest local peaks of each frame, and a hash of
 each peak with the peaks that follow it, kept as arrays of times and hashes.
 
 Cases: null and empty text give one frame of spaces, which has no peaks and an empty fingerprint. Equal
@@ -19,15 +19,17 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from kindred.llm.common import map_arrow, utf8
+from kindred.llm.common import blocks, cut, map_arrow, utf8
 
 FRAME, RATE, PEAKS, AHEAD = 192, 8000, 2, 3
 SCHEMA = (
     "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, "
-    "feature string, peak_times array<int>, peak_hashes array<int>"
+    "feature string, peak_times array<int>, peak_hashes array<int>, media binary"
 )
+FILES = "doc_id long, n_bytes long, media binary"
 _WINDOW = np.hanning(FRAME + 1)[:-1]
 
 
@@ -89,24 +91,28 @@ def fingerprints(payloads: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
     return [(t[ends[k] : ends[k + 1]], h[ends[k] : ends[k + 1]]) for k in range(len(payloads))]
 
 
-def media_batch(batch: pa.RecordBatch):
+def write_batch(batch: pa.RecordBatch):
     raw, offsets = utf8(batch.column(1))
-    data, ids, n = raw.tobytes(), batch.column(0), len(offsets) - 1
-    at = 0
-    while at < n:
-        end = at + 1
-        while end < n and offsets[end + 1] - offsets[at] <= 1 << 21:
-            end += 1
-        media = [to_wav(pad(data[offsets[i] : offsets[i + 1]])) for i in range(at, end)]
+    for i, j in blocks(offsets, 1 << 21):
+        data, at = raw[offsets[i] : offsets[j]].tobytes(), (offsets[i : j + 1] - offsets[i]).tolist()
+        media = [to_wav(pad(data[a:b])) for a, b in zip(at, at[1:])]
+        yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(offsets[i : j + 1])), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
+
+
+def read_batch(batch: pa.RecordBatch):
+    ids, n_bytes, files = batch.columns
+    sizes = np.cumsum([0, *pc.binary_length(files).to_pylist()])
+    for i, j in blocks(sizes, 1 << 21):
+        media = files.slice(i, j - i).to_pylist()
         back = [from_wav(m) for m in media]
         prints = fingerprints(back)
         feature = [f"{len(t)}:{hashlib.sha256(t.astype('<i4').tobytes() + h.astype('<i4').tobytes()).hexdigest()}" for t, h in prints]
-        sizes = np.cumsum([0, *(len(t) for t, _ in prints)]).astype(np.int32)
-        lists = [pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate([p[k] for p in prints]).astype(np.int32))) for k in (0, 1)]
+        ends = np.cumsum([0, *(len(t) for t, _ in prints)]).astype(np.int32)
+        lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([p[k] for p in prints]).astype(np.int32))) for k in (0, 1)]
         yield pa.RecordBatch.from_arrays(
             [
-                ids.slice(at, end - at),
-                pa.array(np.diff(offsets[at : end + 1])),
+                ids.slice(i, j - i),
+                n_bytes.slice(i, j - i),
                 pa.array([len(b) for b in back], pa.int64()),
                 pa.array([hashlib.sha256(b).hexdigest() for b in back]),
                 pa.array([zlib.crc32(b[-16:]) for b in back], pa.int64()),
@@ -114,12 +120,22 @@ def media_batch(batch: pa.RecordBatch):
                 pa.array([hashlib.sha256(m).hexdigest() for m in media]),
                 pa.array(feature),
                 *lists,
+                files.slice(i, j - i),
             ],
-            ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "peak_times", "peak_hashes"],
+            ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "peak_times", "peak_hashes", "media"],
         )
-        at = end
+
+
+def write(docs: DataFrame) -> DataFrame:
+    """The stored table of WAV files, one a document, with the length of the text in each."""
+    return cut(map_arrow(docs.select("doc_id", "text"), write_batch, FILES), "media")
+
+
+def read(files: DataFrame) -> DataFrame:
+    """Per stored file: the file, its digests, the fingerprint arrays and their digest."""
+    return map_arrow(files.select("doc_id", "n_bytes", "media"), read_batch, SCHEMA)
 
 
 def media_features(docs: DataFrame) -> DataFrame:
-    """One row a document with its file's digests, the fingerprint arrays and their digest."""
-    return map_arrow(docs.select("doc_id", "text"), media_batch, SCHEMA)
+    """One row a document with its file, as stored and read back, and what read() derives from it."""
+    return read(write(docs))

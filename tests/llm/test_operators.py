@@ -82,6 +82,19 @@ def test_media_round_trip(spark, odd, empty):
         assert len(r.peak_times) == len(r.peak_hashes) and r.feature.startswith(f"{len(r.peak_times)}:")
 
 
+def test_media_is_stored_and_read_back(spark, odd, empty):
+    stored = media.write(odd)
+    assert stored.inputFiles() and media.write(empty).count() == 0
+    files = sorted(bytes(r.media) for r in stored.collect())
+    assert files == sorted(media.to_wav(media.pad((t or "").encode())) for _, t, *_ in ODD)
+    got = media.read(stored).collect()
+    assert sorted(bytes(r.media) for r in got) == files and all(hashlib.sha256(r.media).hexdigest() == r.media_sha256 for r in got)
+    # results follow the stored column, not the text
+    other = media.to_wav(media.pad(b"another text"))
+    changed = media.read(stored.withColumn("media", F.lit(other))).collect()
+    assert {(r.media_sha256, r.payload_sha256) for r in changed} == {(hashlib.sha256(other).hexdigest(), hashlib.sha256(media.pad(b"another text")).hexdigest())}
+
+
 def test_fingerprint_of_a_tone_and_of_company():
     t = np.arange(192 * 4)
     tone = (128 + 100 * np.sin(2 * np.pi * 20 * t / 192)).astype(np.uint8).tobytes()
