@@ -1,7 +1,8 @@
 """A training-corpus pipeline over `documents`: each stage is one operator on all that the stage before kept.
 
-1. language: rows that are no language (no text, or no letter) go. Where no training row has a lang there is nothing to
-   identify by, and rows with letters stay all the same.
+1. language: rows that are no language go: no text, no letter, or a long text labelled with a learned language that has
+   next to no trigram of any. Rows whose lang is null or wasn't learned can't be judged by the filters and stay if they
+   have a letter, so all such rows do where no training row has a lang.
 2. near_duplicates: of each group of near copies (five words, similarity 0.8) the row of the smallest id stays;
    copies of one text count as such a group, and rows that share an id are told apart by their text.
 3. pii: personal data in the text is replaced by its kind in brackets; n_chars follows.
@@ -24,9 +25,7 @@ from kindred.llm.common import cut, documents
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language.train(language.training_rows(docs))
-    if not model.languages:  # 'und' for all, which says nothing of a row
-        return language.lettered(docs)
-    return language.identify(docs, model).where(F.col("lang_pred") != "und").select(*docs.columns)
+    return language.without_noise(docs, model)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import re
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -63,3 +64,27 @@ def test_language_stage_without_labels(spark, odd):
     assert stage(spark, unlearned, SF).count() == docs.count()
     no_lang = odd.withColumn("lang", F.lit(None).cast("string"))
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in stage(spark, no_lang, SF).collect()) == [(False, -7), (False, 3), (False, 3), (False, 5), (False, 8), (True, 0)]
+
+
+def test_language_stage_rejects_noise(spark):
+    rng = np.random.default_rng(5)
+    noise = " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, 7)) for _ in range(60))
+    russian = "Все люди рождаются свободными и равными в своем достоинстве и правах. " * 5
+    finnish = "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. " * 5
+    docs = documents(spark, SF)
+    rows = [(9015, noise, "en"), (9017, russian, "de"), (9020, noise[:40], "en"), (9022, noise, None), (9029, russian, "ru"), (9034, russian, None), (9036, finnish, "en")]
+    extra = spark.createDataFrame([(d, t, lang, "src1", len(t)) for d, t, lang in rows], docs.schema)
+    all_rows = docs.unionByName(extra)
+    want = {r.doc_id for r in all_rows.collect()} - {9015, 9017}
+    # all added rows are held out, so nothing is learned from them
+    kept = [r.doc_id for r in dict(corpus_pipeline.STAGES)["language"](spark, all_rows, SF).collect()]
+    assert len(kept) == len(set(kept)) and set(kept) == want
+
+
+def test_language_stage_of_poor_models(spark):
+    russian = "Все люди рождаются свободными и равными в своем достоинстве и правах. " * 5
+    words = "one two three four five six seven eight nine ten " * 10
+    for lang in ("en", "ru"):  # one label on a few rows, learned from little
+        rows = [(i, words, "en" if i < 3 else None) for i in range(20)] + [(100 + i, russian, lang if i < 3 else None) for i in range(20)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+        assert dict(corpus_pipeline.STAGES)["language"](spark, docs, SF).count() == 40
