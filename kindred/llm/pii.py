@@ -7,6 +7,9 @@ digits, equal last seven digits, equal network part, equal mailbox). Loopy messa
 links: a number that is written as a valid phone number once and without its prefix later is found both times. A
 token is added when its posterior is high and it has a skip link; base matches always stay.
 
+Texts without a base match are judged in the same way: linked look-alikes are found where their cues and form alone
+make the posterior high.
+
 Feature weights, transition weights and the weight of agreement are learned from counts on a bounded sample of
 documents, labelled by the base patterns (`train_docs` documents of least hash).
 
@@ -244,8 +247,6 @@ def infer(model: PiiModel, text: str, tokens: list[tuple[int, int, int]], skips:
 def find(text: str, model: PiiModel, params: PiiParams = PiiParams()) -> tuple[list[Span], list[Span]]:
     """Base spans and added spans of one text."""
     base = base_spans(text)
-    if not base:
-        return base, []  # labels spread from base matches only
     tokens = candidates(text, base)
     if len(tokens) == len(base):
         return base, []
@@ -303,7 +304,7 @@ def redacted(docs: DataFrame, model: PiiModel, params: PiiParams = PiiParams())
         for i, t in enumerate(texts):
             if t:
                 base, added = find(t, model, params)
-                if base:
+                if base or added:
                     texts[i] = redact(t, base + added)
         columns[at] = pa.array(texts, batch.schema.field(at).type)
         if sized:

@@ -178,6 +178,16 @@ def test_pii_base_spans(spark):
     assert pii.base_spans("a" * 200000 + "1" * 200000) == []
 
 
+def test_pii_of_repeated_look_alikes_alone(spark):
+    model = pii.train(documents(spark, SF))
+    text = "tel (736) 555-2678, " * 3
+    at = [20 * i + 4 for i in range(3)]
+    assert pii.find(text, model) == ([], [(s, pii.KINDS.index("phone"), s + 14) for s in at])
+    assert pii.find("tel (736) 555-2678", model) == ([], [])  # no link
+    rows = spark.createDataFrame([(1, text, 60), (2, "no data", 7), (3, None, None)], "doc_id long, text string, n_chars long")
+    assert {(r.doc_id, r.text, r.n_chars) for r in pii.redacted(rows, model).collect()} == {(1, "tel [phone], " * 3, 39), (2, "no data", 7), (3, None, None)}
+
+
 def test_pii_query(spark, odd, empty):
     docs = documents(spark, SF)
     model = pii.train(docs)
