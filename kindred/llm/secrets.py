@@ -32,7 +32,8 @@ HEX = r"[0-9a-f]+"
 BASE = ("assign", "access", "hex")
 # Weak parts.
 IDENTIFIER = r"""\b(?:ASIA|AROA|AIDA|AGPA|ABIA)[A-Z0-9]{12,}|\b(?i:client_?id|access_?id|user_?name|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}"""
-SECRET = r"(?<![A-Za-z0-9+/])(?=[A-Za-z0-9+/]{0,200}[0-9])(?=[A-Za-z0-9+/]{0,200}[A-Z])(?=[A-Za-z0-9+/]{0,200}[a-z])[A-Za-z0-9+/]{32,}={0,2}"
+# A match starts where a run does; the first digit, capital and small letter may stand anywhere in the run.
+SECRET = r"(?<![A-Za-z0-9+/])(?=[A-Za-z+/]*[0-9])(?=[a-z0-9+/]*[A-Z])(?=[A-Z0-9+/]*[a-z])[A-Za-z0-9+/]{32,}={0,2}"
 ENDPOINT = r"""\b[a-z][a-z0-9+.-]{1,15}://[^\s"'<>]+|\b[a-z0-9.-]{1,60}\.(?:amazonaws|azure|googleapis|cloudflarestorage)\.com\b"""
 WEAK = ("identifier", "secret", "endpoint")
 KINDS = BASE + WEAK

@@ -262,6 +262,17 @@ def test_mixture(spark, odd, empty):
     assert out.count() == sum(r.copies for r in sized)
 
 
+def test_secret_classes_far_into_a_run(spark):
+    head = "abcdefghij" * 30
+    runs = [head + "Z9", head + "Z" + head + "7==", head.upper() + "0a", head + "Z", head + "9"]
+    texts = ["client_id = someone " + r for r in runs] + ["https://www.org/abcd " + "+".join(["xy" * 50_000, "Q", "7"])]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secrets.digest(secrets.find(rows)).collect()}
+    for i, (t, has) in enumerate(zip(texts, [True, True, True, False, False, True])):
+        run = f"secret:{len(t.rsplit(' ', 1)[0]) + 1}:{len(t)}"
+        assert (run in got[i].split(",")) == has
+
+
 # --- top-k
 def brute_top(vectors, ids, k):
     out = set()
