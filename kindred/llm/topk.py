@@ -8,7 +8,9 @@ the other shards as their starting bounds. Each shard returns its best k, and th
 
 Cases: vectors that are null, empty or hold null or non-finite components take no part, nor do null ids; vectors
 of different dimensions don't meet; exactly repeated rows count once; a query doesn't meet rows of its own id; ties
-go to the smaller id; fewer than k candidates give fewer rows. Other columns are ignored. Empty: empty.
+go to the smaller id; fewer than k candidates give fewer rows. Rows with components too large for exact scores in floating
+point are left out of the trees and scored in integers, each with all others; a score that doesn't fit 64 bits is held at
+their end. Other columns are ignored. Empty: empty.
 """
 
 from __future__ import annotations
@@ -74,13 +76,59 @@ class BallTree:
         self.points = points[self.order]
 
 
-def search_shard(queries: np.ndarray, query_ids: np.ndarray, bounds: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+Hits = tuple[np.ndarray, np.ndarray, np.ndarray]
+LEAST = -(1 << 63)  # a bound that any score reaches
+
+
+def search_shard(queries: np.ndarray, query_ids: np.ndarray, bounds: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int) -> Hits:
     """(query row, id, score) of the best k candidates of each query that reach its bound."""
+    cap = math.isqrt(((1 << 40) - 1) // points.shape[1])  # up to this, scores are below 2^40
+    tame_q, tame_p = (((x <= cap) & (x >= -cap)).all(1) for x in (queries, points))
+    q, p = np.flatnonzero(tame_q), np.flatnonzero(tame_p)
+    if len(q) == len(queries) and len(p) == len(points):
+        return search_tree(queries, query_ids, bounds, points, ids, k)
+    found: list[Hits] = []
+    if len(q) and len(p):
+        found.append(search_tree(queries[q], query_ids[q], bounds[q], points[p], ids[p], k))
+        found[0] = (q[found[0][0]], *found[0][1:])
+    for rows, among in ((np.flatnonzero(~tame_q), np.arange(len(points))), (q, np.flatnonzero(~tame_p))):
+        if len(rows) and len(among):
+            row, *hits = search_whole(queries[rows], query_ids[rows], bounds[rows], points[among], ids[among], k)
+            found.append((rows[row], *hits))
+    row, hit, score = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((hit, -score, row))
+    row = row[order]
+    first = np.searchsorted(row, row)  # where each query's hits begin
+    best = order[np.arange(len(row)) - first < k]
+    return tuple(x[best] for x in (np.concatenate([f[0] for f in found]), hit, score))
+
+
+def search_whole(queries: np.ndarray, query_ids: np.ndarray, bounds: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int) -> Hits:
+    """As search_shard, in whole numbers of any size, over all pairs."""
+    by_id = np.argsort(ids, kind="stable")
+    points, ids = points[by_id], ids[by_id]
+    most = lambda x: max(abs(int(x.max())), abs(int(x.min())))
+    end = (1 << 63) - 2
+    small = most(queries) * most(points) * points.shape[1] <= end
+    across = points.T if small else points.T.astype(object)
+    step = max(1, (1 << 22 if small else 1 << 18) // len(points))
+    found = []
+    for a in range(0, len(queries), step):
+        q = queries[a : a + step]
+        score = q @ across if small else np.clip(q.astype(object) @ across, -end, end).astype(np.int64)
+        out = (ids[None, :] == query_ids[a : a + step, None]) | (score < bounds[a : a + step, None])
+        rank = np.where(out, end + 1, -score)
+        best = np.argsort(rank, axis=1, kind="stable")[:, :k]  # points stand by id
+        row, place = np.nonzero(np.take_along_axis(rank, best, 1) <= end)
+        at = best[row, place]
+        found.append((row + a, ids[at], score[row, at]))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def search_tree(queries: np.ndarray, query_ids: np.ndarray, bounds: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int) -> Hits:
+    """As search_shard, by a ball tree, for scores below 2^40."""
     by_id = np.argsort(ids, kind="stable")
     points, ids = points[by_id], ids[by_id]
-    biggest = max(float(np.abs(points).max()), float(np.abs(queries).max()), 1.0)
-    if biggest * biggest * points.shape[1] >= 2**40:
-        raise ValueError("components too large for exact scores")  # beyond 2^15 in 64 dimensions
     real = points.astype(np.float64)
     tree = BallTree(real)
     q = queries.astype(np.float64)
@@ -146,7 +194,7 @@ def top_k(vectors: DataFrame, is_query: Column, params: SearchParams = SearchPar
             return pa.table({c: pa.array([], pa.int64()) for c in ("query_id", "q_key", "vec_id", "score")})
         dim = key[0].as_py()
         names, keys = left["query_id"].to_numpy(), left["q_key"].to_numpy()
-        bounds = left["bound"].fill_null(-(1 << 40)).to_numpy()
+        bounds = left["bound"].fill_null(LEAST).to_numpy()
         row, ids, score = search_shard(_matrix(left["qv"], dim), names, bounds, _matrix(right["cv"], dim), right["vec_id"].to_numpy(), k)
         return pa.table({"query_id": names[row], "q_key": keys[row], "vec_id": ids, "score": score})
 

@@ -283,6 +283,19 @@ def brute_top(vectors, ids, k):
     return out
 
 
+@pytest.mark.parametrize("shard", [(40, 40), (2048, 32768)])
+@pytest.mark.parametrize("big", [3000.0, 1e7])
+def test_top_k_of_large_components(spark, shard, big):
+    rng = np.random.default_rng(6)
+    x = np.round(rng.normal(0, 0.1, (400, 64)), 2).astype(np.float32)
+    x[17, 3], x[60, 5], x[61, 5], x[62] = big, -big, big, x[61]  # a candidate, a query, and two equal ones
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
+    got = [tuple(r) for r in topk.top_k(df, F.col("vec_id") % 20 == 0, topk.SearchParams(shard=shard, block=13)).collect()]
+    whole = [np.array([int(y) for y in v], dtype=object) for v in np.floor(64 * x.astype(np.float64))]
+    assert len(got) == 400 and set(got) == brute_top(whole, list(range(400)), 20)
+
+
 @pytest.mark.parametrize("shard", [(40, 40), (2048, 32768)])
 def test_top_k(spark, shard):
     rng = np.random.default_rng(5)
