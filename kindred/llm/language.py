@@ -197,11 +197,13 @@ def without_noise(docs: DataFrame, model: LanguageModel, text: str = "text", lan
     fitted = pa.array([x for x, f in zip(model.languages, model.false_rate) if f ** (1 / model.hashes) >= 0.9 * least], pa.string())
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batch: pa.RecordBatch):
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         judged = pc.is_in(batch.column(label), fitted).to_numpy(zero_copy_only=False)
+        keep = np.zeros(batch.num_rows, bool)
         for i, j, counts, rate in _rates(shared.value, *utf8(batch.column(at))):
             noise = judged[i:j] & (counts >= params.trigrams) & (rate.max(1) < params.rate)
-            yield batch.slice(i, j - i).filter(pa.array((counts > 0) & ~noise))
+            keep[i:j] = (counts > 0) & ~noise
+        return batch if keep.all() else batch.filter(pa.array(keep))
 
     return map_arrow(docs, run, docs.schema)
 
