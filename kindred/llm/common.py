@@ -6,16 +6,18 @@ what it needs under names of its own before it joins or maps.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-BATCH_ROWS = 2000
+from kindred.operators.tables import cut, drop_table, shared_dir  # noqa: F401
+
+BATCH_BYTES = 2 << 20
 SPACE_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
@@ -23,35 +25,6 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="kindred-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def table_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/kindred/{name}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write the rows as a Parquet table in the shared folder and read them back: lineage ends here."""
-    path = table_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_table(df: DataFrame) -> None:
-    """Remove the files of a table made by cut(), once nothing reads it again."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column, null as empty, and its len + 1 offsets."""
     if isinstance(column, pa.ChunkedArray):
@@ -72,14 +45,36 @@ def blocks(offsets: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int
         at = end
 
 
-def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch], schema: str) -> DataFrame:
-    """mapInArrow of a function of one batch. Batches of texts are kept small, in the worker and in the JVM beside it:
-    where the session has Spark's default of 10,000 rows, BATCH_ROWS takes its place."""
-    conf = df.sparkSession.conf
-    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+_CACHES: dict[str, dict[Any, Any]] = {}
+
+
+def cache(name: str) -> dict[Any, Any]:
+    """A dictionary that outlives tasks in a Python worker until it runs an operator that doesn't name it."""
+    return _CACHES.setdefault(name, {})
+
+
+def give_back(keep: str = "") -> None:
+    """Empty the caches but one, and hand freed memory back to the system: workers stay for other tasks and operators."""
+    for name, held in _CACHES.items():
+        if name != keep:
+            held.clear()
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch], schema: str, keep: str = "") -> DataFrame:
+    """mapInArrow of a function of one batch; `keep` names the cache that it uses.
+
+    Batches are bounded by bytes, in the worker and in the JVM beside it: BATCH_BYTES, or less if the session says so.
+    """
+    bounded(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back(keep)
         for batch in batches:
             if batch.num_rows:
                 got = f(batch)
@@ -87,10 +82,17 @@ def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBat
                     yield got
                 else:
                     yield from got
+        give_back(keep)
 
     return df.mapInArrow(run, schema)
 
 
+def bounded(spark: SparkSession) -> None:
+    """Hold Arrow batches of the session to BATCH_BYTES."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(name, min(BATCH_BYTES, int(spark.conf.get(name).rstrip("b")) or BATCH_BYTES))
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of unsigned 64-bit integers."""
     x = x ^ (x >> np.uint64(30))
@@ -111,13 +113,13 @@ def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
-_POWERS = {0: np.ones(1, np.uint64), 1: np.ones(1, np.uint64)}
+_POWERS = cache("powers")
 
 
 def powers(n: int, inverse: bool = False) -> np.ndarray:
     """The first n powers of the base, or of its inverse, modulo 2**64."""
-    have = _POWERS[inverse]
-    if len(have) < n:
+    have = _POWERS.get(inverse)
+    if have is None or len(have) < n:
         step = np.full(max(n, 1 << 20), BASE_INVERSE if inverse else BASE, np.uint64)
         step[0] = 1
         _POWERS[inverse] = have = np.cumprod(step)
@@ -142,19 +144,35 @@ def byte_codes() -> np.ndarray:
 
 
 class KeyFilter:
-    """A bit set of a fixed size over 64-bit keys: no key of the table is missed, others pass now and then."""
+    """A bit set over the 64-bit keys of a table's one column: no key is missed, others pass now and then.
+
+    It has 16 to 32 bits a key, 2**most bits at most. Tasks send the cells of their keys to the slices they are in, each
+    slice is made by one task, and the driver gets the slices' bits, whose size is bounded. The table is read twice.
+    """
+
+    def __init__(self, keys: DataFrame, most: int = 27):
+        bits = self.bits = min(most, max(10, (16 * keys.count()).bit_length()))
+        slices = 1 << max(0, min(5, bits - 18))
+        size = (1 << bits) // slices
+
+        def cells(batch: pa.RecordBatch) -> pa.RecordBatch:
+            found = np.unique(_cells(batch.column(0), bits))
+            return pa.RecordBatch.from_arrays([pa.array((found // size).astype(np.int32)), pa.array((found % size).astype(np.int32))], ["slice", "cell"])
 
-    def __init__(self, keys: DataFrame, bits: int = 25):
         def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            cells = np.zeros(1 << bits, bool)
+            found: dict[int, np.ndarray] = {}
             for b in batches:
-                cells[_cells(b.column(0), bits)] = True
-            yield pa.RecordBatch.from_arrays([pa.array([np.packbits(cells).tobytes()], pa.binary())], ["cells"])
-
-        self.bits, out = bits, np.zeros(1 << (bits - 3), np.uint8)
-        for r in keys.coalesce(4).mapInArrow(fill, "cells binary").toLocalIterator():  # at most four values of a fixed size
-            out |= np.frombuffer(r.cells, np.uint8)
-        self.cells = out
+                slice_, cell = b.column(0).to_numpy(), b.column(1).to_numpy()
+                for k in np.unique(slice_).tolist():
+                    found.setdefault(k, np.zeros(size, bool))[cell[slice_ == k]] = True
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([np.packbits(v).tobytes() for v in found.values()], pa.binary())], ["slice", "bits"])
+
+        dealt = map_arrow(keys, cells, "slice int, cell int")
+        dealt = dealt.repartition(slices, "slice") if slices > 1 else dealt.repartition(1)
+        self.cells = np.zeros(1 << (bits - 3), np.uint8)
+        for r in dealt.mapInArrow(fill, "slice int, bits binary").collect():  # 2**most bits together
+            self.cells[r.slice * size >> 3 : (r.slice + 1) * size >> 3] |= np.frombuffer(r.bits, np.uint8)
 
     def has(self, keys: pa.Array) -> np.ndarray:
         at = _cells(keys, self.bits)

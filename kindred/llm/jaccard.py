@@ -8,8 +8,11 @@ Candidates pass the length filter, the positional filter and a suffix filter tha
 parities and counts of ranges of hashes; a pair is verified once, by the sets themselves.
 
 A large group of near copies shares thousands of shingles, and all its pairs would be quadratic. So links are found
-in waves: in a wave each prefix shingle pairs its classes with one leader, and pairs whose components are known
-to be joined already are left out. When a few waves have joined what they can, the last wave takes every pair that is
+in waves: in a wave each prefix shingle pairs its classes with one leader, the class in which the fewest rarer shingles
+stand before it. A copy's own changes are such rarer shingles, so the leader is the class nearest to what the group has
+in common, and one wave joins what a middle can join. Shingles that meet in different components after it are open. While
+their classes could still make more than `dense` pairs each, further waves take a leader for each pattern of parity bits among
+a shingle's classes, as long as they join anything; the last wave takes every pair that is
 left between different components, so no link that matters for connectivity is lost.
 
 Cases: null text, and text without words, has an empty set and links with nothing; fewer than k words make one
@@ -28,6 +31,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,8 +52,9 @@ class JoinParams:
     words: int = 5
     percent: int = 80  # least similarity
     sketch_bits: int = 22
-    bloom_bits: int = 25
-    waves: int = 1
+    bloom_bits: int = 27  # of a filter, at most
+    waves: int = 6  # of leaders, at most
+    dense: int = 16  # pairs an open prefix row may make before another wave of leaders is worth it
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, k: int) -> Iterator[np.ndarray]:
@@ -138,7 +143,7 @@ def _sketch(docs: DataFrame, params: JoinParams) -> np.ndarray:
         sums = sums.groupBy("slice", F.floor(F.col("part") / FAN_IN).alias("g")).applyInArrow(add, kind)
         parts = -(-parts // FAN_IN)
     cells = np.zeros(size, np.int64)
-    for r in sums.toLocalIterator():  # a row for each slice
+    for r in sums.collect():  # a row for each slice: one job, and 32 MB at most for cells of eight bytes
         cells[r.slice * width : (r.slice + 1) * width] += np.frombuffer(zlib.decompress(r.cells), np.int64)
     drop_table(tasks)
     mean = max(1.0, float(cells.mean()))
@@ -155,7 +160,7 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def _entries(docs: DataFrame, levels: np.ndarray, params: JoinParams) -> DataFrame:
-    """(token, node, n, pos) of the prefixes, one row for each class."""
+    """(token, node, n, pos) of the prefixes as a table, one row for each class and task that met it."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)  # one byte a cell
     shift = np.uint64(64 - params.sketch_bits)
 
@@ -193,7 +198,7 @@ def _entries(docs: DataFrame, levels: np.ndarray, params: JoinParams) -> DataFra
         if held:
             yield flush()
 
-    return map_arrow(docs.select("text"), run, "token long, node long, n int, pos int")
+    return _settled(map_arrow(docs.select("text"), run, "token long, node long, n int, pos int"), "prefixes", [shared])
 
 
 def _as_partner(rows: DataFrame) -> DataFrame:
@@ -217,17 +222,22 @@ def _near(percent: int) -> Column:
     return apart <= F.col("n") + F.col("n2") - 2 * _need(percent)
 
 
-def _among(rows: DataFrame, column: str, keys: DataFrame, params: JoinParams) -> DataFrame:
-    """The rows that may be among the keys (one column): a filter of a fixed size, so that few others are shuffled."""
+def _among(rows: DataFrame, column: str, keys: DataFrame, params: JoinParams, held: list[Broadcast]) -> DataFrame:
+    """The rows that may be among the keys (one column): a filter of a bounded size, so that few others are shuffled.
+    It is added to `held`, to be destroyed when the rows have been written."""
     shared, at = rows.sparkSession.sparkContext.broadcast(KeyFilter(keys, params.bloom_bits)), rows.columns.index(column)
+    held.append(shared)
     return map_arrow(rows, lambda batch: batch.filter(pa.array(shared.value.has(batch.column(at)))), rows._jdf.schema().toDDL())
 
 
 def _sets(docs: DataFrame, own: DataFrame, named: DataFrame, params: JoinParams) -> DataFrame:
-    """(node, members) of the classes a of `named`, one row for each, from one text of each class. A filter of text
+    """(node, members) of the classes `named` as a table, one row for each, from one text of each class. A filter of text
     hashes spares other texts; what it lets through by chance joins nothing."""
-    texts = _among(own.select("node", "th"), "node", named, params).groupBy("node").agg(F.min("th").alias("th")).select("th")
+    held: list[Broadcast] = []
+    texts = cut(_among(own.select("node", "th"), "node", named, params, held).groupBy("node").agg(F.min("th").alias("th")).select("th"), "texts")
     shared = docs.sparkSession.sparkContext.broadcast(KeyFilter(texts, params.bloom_bits))
+    held.append(shared)
+    drop_table(texts)
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         done, names, values, size = set(), [], [], 0
@@ -249,7 +259,16 @@ def _sets(docs: DataFrame, own: DataFrame, named: DataFrame, params: JoinParams)
         if names:
             yield rows()
 
-    return map_arrow(docs.select("text", F.xxhash64("text").alias("th")), run, "node long, members binary").groupBy("node").agg(F.any_value("members").alias("members"))
+    made = map_arrow(docs.select("text", F.xxhash64("text").alias("th")), run, "node long, members binary")
+    return _settled(made.groupBy("node").agg(F.any_value("members").alias("members")), "sets", held)
+
+
+def _settled(rows: DataFrame, name: str, held: list[Broadcast]) -> DataFrame:
+    """The rows as a table, which needs the broadcast values no more."""
+    out = cut(rows, name)
+    for shared in held:
+        shared.destroy()
+    return out
 
 
 def parity(own: np.ndarray) -> np.ndarray:
@@ -297,9 +316,10 @@ def _likely(own: DataFrame, pairs: DataFrame, params: JoinParams) -> DataFrame:
         ok = [may_overlap(np.frombuffer(x.as_py(), np.uint16), np.frombuffer(y.as_py(), np.uint16), params.percent) for x, y in zip(batch.column(2), batch.column(3))]
         return batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
 
-    named = pairs.select("a").union(pairs.select("b")).distinct()
-    counts = _among(own.select("node", "counts"), "node", named, params).groupBy("node").agg(F.any_value("counts").alias("counts"))
-    return cut(map_arrow(_with_both(pairs, counts, "counts"), likely, "a long, b long"), "likely")
+    held: list[Broadcast] = []
+    named = pairs.select("a").union(pairs.select("b"))
+    counts = _among(own.select("node", "counts"), "node", named, params, held).groupBy("node").agg(F.any_value("counts").alias("counts"))
+    return _settled(map_arrow(_with_both(pairs, counts, "counts"), likely, "a long, b long"), "likely", held)
 
 
 def _verified(docs: DataFrame, own: DataFrame, pairs: DataFrame, roots: DataFrame | None, params: JoinParams) -> DataFrame:
@@ -317,7 +337,7 @@ def _verified(docs: DataFrame, own: DataFrame, pairs: DataFrame, roots: DataFram
         return cut(map_arrow(_with_both(pairs, sets, "members"), exact, "a long, b long"), "verified")
 
     pairs = _likely(own, pairs, params)
-    sets = cut(_sets(docs, own, pairs.select("a").union(pairs.select("b")).distinct(), params), "sets")
+    sets = _sets(docs, own, pairs.select("a").union(pairs.select("b")), params)
     if roots is None:
         found = linked(pairs)
     else:
@@ -327,9 +347,11 @@ def _verified(docs: DataFrame, own: DataFrame, pairs: DataFrame, roots: DataFram
         found = linked(first)
         merged = cut(components(_rooted(found, roots).select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))), "merged")
         left = _rooted(rooted.select(F.col("root_a").alias("a"), F.col("root_b").alias("b"), F.struct("a", "b").alias("x")), merged)
-        left = left.where("root_a <> root_b").select("x.a", "x.b").join(first, ["a", "b"], "left_anti")
-        found = found.unionByName(linked(cut(left, "left")))
-        drop_table(rooted)
+        left = cut(left.where("root_a <> root_b").select("x.a", "x.b").join(first, ["a", "b"], "left_anti"), "left")
+        found = found.unionByName(linked(left))
+        for used in (rooted, first, merged, left):
+            drop_table(used)
+    drop_table(pairs)
     drop_table(sets)
     return found
 
@@ -342,6 +364,38 @@ def _rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs
 
 
+def _pattern(wave: int) -> Column:
+    """Six parity bits of a class, others in each wave."""
+    return F.shiftrightunsigned(F.col(WORDS[wave % len(WORDS)]), wave // len(WORDS) * 6 % 58).bitwiseAND(F.lit(63))
+
+
+def _leaders(rows: DataFrame, wave: int) -> DataFrame:
+    """As partners, the leader of each shingle, after the first wave of each shingle and pattern."""
+    columns = ["node", "n", "pos", "root", *(WORDS if wave else ())]
+    best = F.min_by(F.struct(*columns), F.struct("pos", F.xxhash64("node", F.lit(wave)), "node")).alias("x")
+    if not wave:
+        return _as_partner(rows.groupBy("token").agg(best).select("token", "x.*"))
+    return _as_partner(rows.groupBy("token", _pattern(wave).alias("pattern")).agg(best).select("token", "pattern", "x.*"))
+
+
+def _open(entries: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """Entries with their components, of shingles whose classes are in more than one."""
+    if roots is None:
+        return entries.withColumn("root", F.col("node"))
+    named = roots.select(F.col("node").alias("r"), "root")
+    rows = entries.join(named, F.col("node") == F.col("r"), "left").withColumn("root", F.coalesce("root", "node")).drop("r")
+    mixed = rows.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select(F.col("token").alias("t"))
+    return rows.join(mixed, F.col("token") == F.col("t"), "left_semi")
+
+
+def _untried(pairs: DataFrame, tried: DataFrame | None) -> DataFrame:
+    """The distinct pairs (a, b) that aren't in tried, as a table: one aggregate, combined before it is shuffled."""
+    rows = pairs.withColumn("old", F.lit(False))
+    if tried is not None:
+        rows = rows.unionByName(tried.withColumn("old", F.lit(True)))
+    return cut(rows.groupBy("a", "b").agg(F.max("old").alias("old")).where("NOT old").select("a", "b"), "pairs")
+
+
 def classes(docs: DataFrame, params: JoinParams) -> DataFrame:
     """doc_id, th, n_shingles, node, and the four words of the set's parity, of every row."""
 
@@ -355,11 +409,12 @@ def classes(docs: DataFrame, params: JoinParams) -> DataFrame:
 
 def node_roots(docs: DataFrame, own: DataFrame, params: JoinParams) -> DataFrame | None:
     """(node, root) of the classes that link with others; null when none does. own: the table of classes()."""
-    prefixes = cut(_entries(docs, _sketch(docs, params), params), "prefixes")
+    prefixes = _entries(docs, _sketch(docs, params), params)
     groups = prefixes.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select(F.col("token").alias("t"))
     groups = cut(groups, "shared-tokens")
     # shingles that meet in prefixes; a class that several tasks met is named once from here on
-    entries = cut(_among(prefixes, "token", groups, params).join(groups, F.col("token") == F.col("t"), "left_semi").distinct(), "shared-prefixes")
+    held: list[Broadcast] = []
+    entries = _settled(_among(prefixes, "token", groups, params, held).join(groups, F.col("token") == F.col("t"), "left_semi").distinct(), "shared-prefixes", held)
     drop_table(prefixes)
     drop_table(groups)
     if entries.isEmpty():
@@ -367,40 +422,44 @@ def node_roots(docs: DataFrame, own: DataFrame, params: JoinParams) -> DataFrame
     words = own.where("node <> 0").groupBy(F.col("node").alias("c")).agg(*[F.any_value(w).alias(w) for w in WORDS])
     words = cut(words, "parities")
     links = tried = roots = None
-    for wave in range(params.waves + 1):
-        rows, open_ = entries, None
-        if roots is not None:
-            named = roots.select(F.col("node").alias("r"), "root")
-            rows = entries.join(named, F.col("node") == F.col("r"), "left").withColumn("root", F.coalesce("root", "node")).drop("r")
-            mixed = rows.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select(F.col("token").alias("t"))
-            rows = open_ = cut(rows.join(mixed, F.col("token") == F.col("t"), "left_semi"), "open-prefixes")
+    used = [entries, words]
+    rows, last, wave = entries.withColumn("root", F.col("node")), params.waves == 0, 0
+    while True:
+        if wave or last:  # few rows are in open groups: they carry their parities, and the joins themselves test them
+            rows = rows.join(words, F.col("node") == F.col("c")).drop("c")
+        partner = _leaders(rows, wave) if not last else _as_partner(rows)
+        order = F.col("node") < F.col("node2") if last else F.col("node") != F.col("node2")
+        meet = (F.col("token") == F.col("token2")) & (F.col("root") != F.col("root2")) & order & _possible(params.percent)
+        if wave or last:
+            meet &= _near(params.percent)
+            met = rows.join(partner, meet if last else meet & (_pattern(wave) == F.col("pattern2")))
         else:
-            rows = rows.withColumn("root", F.col("node"))
-        if wave < params.waves:
-            best = F.min_by(F.struct("node", "n", "pos", "root"), F.struct(F.xxhash64("node", F.lit(wave)), "node"))
-            partner = _as_partner(rows.groupBy("token").agg(best.alias("x")).select("token", "x.*"))
-            met = rows.join(partner, F.col("token") == F.col("token2")).where((F.col("root") != F.col("root2")) & (F.col("node") != F.col("node2")) & _possible(params.percent))
-            met = met.select("node", "n", "node2", "n2").distinct()
-            met = met.join(words, F.col("node") == F.col("c")).drop("c")
+            met = rows.join(partner, meet).select("node", "n", "node2", "n2").distinct().join(words, F.col("node") == F.col("c")).drop("c")
             met = met.join(words.select(F.col("c"), *[F.col(w).alias(f"{w}_2") for w in WORDS]), F.col("node2") == F.col("c")).where(_near(params.percent))
-        else:  # few rows are in open groups: they carry their parities, and the join itself tests them
-            rows = rows.join(words, F.col("node") == F.col("c")).drop("c")
-            partner = _as_partner(rows)
-            met = rows.join(partner, F.col("token") == F.col("token2")).where((F.col("root") != F.col("root2")) & (F.col("node") < F.col("node2")) & _possible(params.percent) & _near(params.percent))
-        pairs = met.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = cut(pairs, "pairs")
-        if open_ is not None:
+        pairs = _untried(met.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")), tried)
+        joined = False
+        used.append(pairs)
+        if not pairs.isEmpty():
+            tried = pairs if tried is None else tried.unionByName(pairs)
+            found = _verified(docs, own, pairs, roots, params)
+            joined = not found.isEmpty()
+            used.append(found)
+            links = found if links is None else links.unionByName(found)
+            if joined:
+                used += [roots] if roots is not None else []
+                roots = cut(components(links), "roots")
+        if wave:
             drop_table(open_)
-        if pairs.isEmpty():
-            continue
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        found = _verified(docs, own, pairs, roots, params)
-        links = found if links is None else links.unionByName(found)
-        roots = cut(components(links), "roots")
-    drop_table(entries)
-    drop_table(words)
+        if last:
+            break
+        rows = open_ = cut(_open(entries, roots), "open-prefixes")
+        wave += 1
+        met_in = open_.groupBy("token").agg(F.count("*").alias("k")).agg(F.sum(F.col("k") * (F.col("k") - 1) / 2).alias("pairs"), F.sum("k").alias("rows")).first()
+        if not met_in.rows:
+            break
+        last = not joined or wave >= params.waves or met_in.pairs <= params.dense * met_in.rows
+    for table in used:
+        drop_table(table)
     return roots
 
 
@@ -421,12 +480,16 @@ def grouped(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
     else:
         named = roots.select(F.col("node").alias("r"), "root")
         group = rows.join(named, F.col("node") == F.col("r"), "left").withColumn("root", F.coalesce("root", "node")).drop("r")
-    return cut(group.select("doc_id", "th", "n_shingles", "node", "root"), "groups")
+    group = cut(group.select("doc_id", "th", "n_shingles", "node", "root"), "groups")
+    for used in (rows, roots):
+        if used is not None:
+            drop_table(used)
+    return group
 
 
 def one_of_each(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
     """The rows of docs without near copies: of each component the row of the smallest id, of equal ids the one of the
-    smallest hash of its text, of repeated rows one. Rows with an empty set have no copies but exact ones.
+    smallest hash of its text, of repeated rows the least by all columns. Rows with an empty set have no copies but exact ones.
 
     The choice is an aggregate of ids and hashes; texts are joined to it, not grouped.
     """
@@ -436,5 +499,6 @@ def one_of_each(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame
     kept = kept.select(F.col("doc_id").alias("k1"), F.col("th").alias("k2"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("k_id"), F.xxhash64("text").alias("k_th"))
     joined = rows.join(kept, F.col("k_id").eqNullSafe(F.col("k1")) & (F.col("k_th") == F.col("k2")), "left_semi")
-    # repeated rows share id and text; few of them are left
-    return joined.groupBy("k_id", "k_th").agg(F.first("row").alias("row")).select("row.*")
+    # repeated rows share id and text; few of them are left, and the least of them by all columns stays
+    least = F.struct(*[F.to_json(F.struct(f"row.`{f.name}`")) if "map<" in f.dataType.simpleString() else F.col(f"row.`{f.name}`") for f in docs.schema])
+    return joined.groupBy("k_id", "k_th").agg(F.min_by("row", least).alias("row")).select("row.*")

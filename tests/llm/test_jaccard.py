@@ -75,6 +75,30 @@ def test_families_of_near_copies(spark):
         assert run(df, words=k, percent=percent) == want and run(df, words=k, percent=percent, waves=0, sketch_bits=8, bloom_bits=10) == want
 
 
+def test_large_families_in_any_number_of_waves(spark):
+    """500 copies around a middle, 300 that drift from one to the next, and 300 about as far from each other as links reach."""
+    rng = np.random.default_rng(9)
+    word = lambda: f"w{rng.integers(0, 900)}"
+
+    def changed(w, n):
+        w = list(w)
+        for _ in range(n):
+            w[int(rng.integers(0, len(w)))] = word()
+        return w
+
+    middle, drift, wide = ([word() for _ in range(100)] for _ in range(3))
+    texts = [changed(middle, int(rng.integers(0, 4))) for _ in range(500)]
+    for _ in range(300):
+        drift = changed(drift, 1)
+        texts.append(drift)
+    texts += [changed(wide, 2) for _ in range(300)]
+    rows = [(i, " ".join(texts[k])) for i, k in enumerate(rng.permutation(len(texts)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = brute(rows, 4, 85)
+    for params in ({}, {"waves": 0}, {"waves": 1}, {"waves": 4, "dense": 0}):
+        assert run(df, words=4, percent=85, **params) == want
+
+
 def test_odd_rows(spark, odd, empty):
     assert run(odd, words=4, percent=85) == brute([(r[0], r[1]) for r in ODD], 4, 85)
     assert run(empty) == []
