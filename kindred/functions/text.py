@@ -6,12 +6,14 @@ Lengths are UTF-16 units and white space is spelled out, because Spark's own len
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from kindred import errors as E
 
-TRIM = r"\A[\x00-\x20]+|[\x00-\x20]+\z"
+CONTROLS = "".join(map(chr, range(33)))
 SPACES = r"[ \t\n\x0B\f\r]+"
 SEPARATORS = "[;；,，]"
 CODE_LIMIT, CODES_LIMIT, NAME_LIMIT = 64, 4000, 500
@@ -19,7 +21,7 @@ CODE_LIMIT, CODES_LIMIT, NAME_LIMIT = 64, 4000, 500
 
 def java_trim(c: Column) -> Column:
     """Strip every character up to U+0020 from both ends."""
-    return F.regexp_replace(c, TRIM, "")
+    return F.btrim(c, F.lit(CONTROLS))
 
 
 def utf16_length(c: Column) -> Column:
@@ -46,6 +48,11 @@ def paragraph_error(normalized: Column, limit: int = 4000) -> Column:
     )
 
 
+def once(c: Column, use: Callable[[Column], Column]) -> Column:
+    """use(c), with c computed once a row however often `use` names it."""
+    return F.get(F.transform(F.array(c), use), F.lit(0))
+
+
 def _tokens(raw: Column) -> Column:
     parts = F.split(F.coalesce(raw, F.lit("")), SEPARATORS, -1)
     return F.filter(F.transform(parts, java_trim), lambda t: t != "")
@@ -53,23 +60,32 @@ def _tokens(raw: Column) -> Column:
 
 def canonical_codes(raw: Column) -> Column:
     """Distinct labels in order, joined by ';'. Meaningful where codes_error() is null."""
-    return F.array_join(F.array_sort(F.array_distinct(_tokens(raw))), ";")
+    return _canonical(_tokens(raw))
+
+
+def _canonical(tokens: Column) -> Column:
+    return F.array_join(F.array_sort(F.array_distinct(tokens)), ";")
 
 
 def codes_error(raw: Column) -> Column:
     """The first failing check: per label in input order length before white space, then the total."""
+    return once(_tokens(raw), _tokens_error)
+
+
+def codes_and_error(raw: Column) -> Column:
+    """Both in a struct (codes, error), from one split."""
+    return once(_tokens(raw), lambda t: F.struct(_canonical(t).alias("codes"), _tokens_error(t).alias("error")))
+
+
+def _tokens_error(tokens: Column) -> Column:
     per_code = F.transform(
-        _tokens(raw),
+        tokens,
         lambda t: F.when(utf16_length(t) > CODE_LIMIT, F.lit(E.MSG_CODE_LONG)).when(
             t.rlike(r"\A(?:.*[ \t\n\x0B\f\r]+.*)\z"), F.concat(F.lit(E.MSG_CODE_SPACE), t)
         ),
     )
-    first = F.get(F.filter(per_code, lambda e: e.isNotNull()), F.lit(0))
-    return (
-        F.when(F.size(_tokens(raw)) == 0, F.lit(E.MSG_CODES_EMPTY))
-        .when(first.isNotNull(), first)
-        .when(utf16_length(canonical_codes(raw)) > CODES_LIMIT, F.lit(E.MSG_CODES_LONG))
-    )
+    total = F.when(utf16_length(_canonical(tokens)) > CODES_LIMIT, F.lit(E.MSG_CODES_LONG))
+    return F.when(F.size(tokens) == 0, F.lit(E.MSG_CODES_EMPTY)).otherwise(F.coalesce(F.get(F.filter(per_code, lambda e: e.isNotNull()), F.lit(0)), total))
 
 
 def parse_codes(c: Column) -> Column:
@@ -84,8 +100,15 @@ def not_blank(c: Column) -> Column:
 
 
 def truncate_name(c: Column, limit: int = NAME_LIMIT) -> Column:
-    """At most `limit` characters of a file name; null stays null."""
-    return F.substring(c, 1, limit)
+    """At most `limit` UTF-16 units of a file name, without half a character; null stays null."""
+    def fits(head: Column) -> Column:  # the units before each character decide whether it fits
+        units = F.transform(F.split(head, ""), lambda x: F.struct(x.alias("x"), utf16_length(x).alias("n")))
+        start = F.struct(F.lit(0).alias("n"), F.lit("").alias("s"))
+        step = lambda a, u: F.struct((a["n"] + u["n"]).alias("n"), F.when(a["n"] + u["n"] <= limit, F.concat(a["s"], u["x"])).otherwise(a["s"]).alias("s"))
+        return F.aggregate(units, start, step, lambda a: a["s"])
+
+    head = F.substring(c, 1, limit)
+    return F.when(utf16_length(head) <= limit, head).otherwise(fits(head))
 
 
 def is_xlsx_name(c: Column) -> Column:

@@ -8,6 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kindred.functions.text import once
+
 _ZERO = 0.0
 
 
@@ -17,7 +19,10 @@ def square_sum(v: Column) -> Column:
 
 def is_valid(v: Column, dim: int | Column | None = None) -> Column:
     """True for a vector that can be normalised: not null or empty, finite, non-zero, of `dim` elements."""
-    total = square_sum(v)
+    return once(square_sum(v), lambda total: _usable(v, total, dim))
+
+
+def _usable(v: Column, total: Column, dim: int | Column | None) -> Column:
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     good = (F.size(v) > 0) & finite & (total > 0) & (total < float("inf"))
     if dim is not None:
@@ -25,14 +30,10 @@ def is_valid(v: Column, dim: int | Column | None = None) -> Column:
     return F.coalesce(good, F.lit(False))
 
 
-def l2_normalize(v: Column) -> Column:
+def l2_normalize(v: Column, dim: int | Column | None = None) -> Column:
     """Elements divided by the float64 norm and rounded to float32; null when is_valid() is false."""
-    return F.when(is_valid(v), _scaled(v, F.sqrt(square_sum(v))))
-
-
-def _scaled(v: Column, norm: Column) -> Column:
-    # the norm travels as an array element, so it is computed once a row
-    return F.flatten(F.transform(F.array(norm), lambda n: F.transform(v, lambda x: (x.cast("double") / n).cast("float"))))
+    scaled = lambda norm: F.transform(v, lambda x: (x.cast("double") / norm).cast("float"))
+    return once(square_sum(v), lambda total: F.when(_usable(v, total, dim), once(F.sqrt(total), scaled)))
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -20,8 +20,7 @@ def build_index(samples: DataFrame, dimension: int) -> DataFrame:
     raw = samples
     if "vector_data" in samples.columns:
         raw = samples.withColumn("vector", vx.decode(F.col("vector_data"), F.col("vector_dim"))).drop("vector_data")
-    unit = F.when(vx.is_valid(F.col("vector"), dimension), vx.l2_normalize(F.col("vector")))
-    out = raw.withColumn("vector", unit)
+    out = raw.withColumn("vector", vx.l2_normalize(F.col("vector"), dimension))
     if dict(out.dtypes)["codes"] == "string":
         out = out.withColumn("codes", tx.parse_codes(F.col("codes")))
     return out.withColumn("good", F.col("vector").isNotNull())
@@ -45,6 +44,7 @@ def hash_index(samples: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Snapshot:
+    cached: DataFrame  # the frame that holds memory; samples derive from it
     samples: DataFrame
     status: str
     sample_count: int
@@ -60,8 +60,12 @@ class IndexHolder:
 
     def reload(self, samples: DataFrame, dimension: int) -> Snapshot:
         index = build_index(samples, dimension).persist()
-        row = index_status(index).first()
-        old, self.current = self.current, Snapshot(good_samples(index), row.status, row.sample_count, row.error_count, datetime.now(timezone.utc))
+        try:
+            row = index_status(index).first()
+        except BaseException:
+            index.unpersist()
+            raise
+        old, self.current = self.current, Snapshot(index, good_samples(index), row.status, row.sample_count, row.error_count, datetime.now(timezone.utc))
         if old is not None:
-            old.samples.unpersist()
+            old.cached.unpersist()
         return self.current

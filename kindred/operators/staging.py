@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kindred import errors as E
 from kindred.functions import text as tx
+from kindred.operators.tables import cut
 
 
 def skip_blank_rows(sheet: DataFrame) -> DataFrame:
@@ -28,12 +29,14 @@ def derive(rows: DataFrame, max_length: int = 4000) -> DataFrame:
     """Add normalized_text, text_hash, codes and row_error (the first failing check)."""
     over = F.col("over_cap") if "over_cap" in rows.columns else F.lit(False)
     out = rows.withColumn("normalized_text", tx.normalize(F.col("paragraph")))
-    error = F.when(~over, F.coalesce(tx.paragraph_error(F.col("normalized_text"), max_length), tx.codes_error(F.col("raw_codes"))))
-    return out.withColumns({
-        "text_hash": tx.text_hash(F.col("normalized_text")),
-        "codes": tx.canonical_codes(F.col("raw_codes")),
-        "row_error": error,
-    })
+    out = out.withColumn("_codes", tx.codes_and_error(F.col("raw_codes")))
+    error = F.when(~over, F.coalesce(tx.paragraph_error(F.col("normalized_text"), max_length), F.col("_codes.error")))
+    return out.withColumns({"text_hash": tx.text_hash(F.col("normalized_text")), "codes": F.col("_codes.codes"), "row_error": error}).drop("_codes")
+
+
+def keys(derived: DataFrame) -> DataFrame:
+    """What the checks of classify() need of derived rows, without their texts, as a table: derived once, however often it is read."""
+    return cut(derived.select("row_no", *[c for c in ("over_cap",) if c in derived.columns], "text_hash", "codes", "row_error"), "sheet-keys")
 
 
 def classify(derived: DataFrame) -> DataFrame:

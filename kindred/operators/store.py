@@ -6,7 +6,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from kindred.errors import MSG_STORE_CONFLICT, EngineError
 from kindred.functions import text as tx
@@ -132,6 +131,6 @@ class SampleStore:
             if not self._fs.rename(self._path(f"{self.root}/{version}.tmp"), self._path(f"{self.root}/{version}.done")):
                 raise EngineError("the batch could not be published", 500)
             return n
-        except (EngineError, AnalysisException):
+        except BaseException:  # whatever it was, no folder stays
             self._fs.delete(self._path(target), True)
             raise

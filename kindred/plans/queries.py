@@ -19,6 +19,7 @@ from kindred.functions import text as tx
 from kindred.functions import vectors as vx
 from kindred.operators import index as ix
 from kindred.operators import search, staging, store, vote
+from kindred.operators.tables import cut
 from kindred.sources.embedder import HashEmbedder, embed_column
 
 # the largest cosine between distinct vectors of the tables is below 0.5, so the default cut would leave nothing
@@ -235,7 +236,7 @@ def row_cap(spark, sf):
 
 
 def _staged(spark, sf, codes):
-    return staging.stage(sheet(spark, sf, codes), None)
+    return staging.classify(staging.keys(staging.derive(staging.skip_blank_rows(sheet(spark, sf, codes)))))
 
 
 @query(f"WITH {s_staged('source')} SELECT row_no, CASE WHEN status = 'conflict' THEN '{E.MSG_FILE_CONFLICT.split('{')[0]}' || first_row || '行' ELSE row_error END AS message FROM st WHERE status IN ('invalid', 'conflict')")
@@ -260,7 +261,7 @@ def label_conflicts(spark, sf):
 
 def _split(spark, sf, codes="source"):
     """Store (even doc_id) and batch (odd), both keep-first within themselves."""
-    d = staging.derive(staging.skip_blank_rows(sheet(spark, sf, codes)))
+    d = staging.keys(staging.derive(staging.skip_blank_rows(sheet(spark, sf, codes))))
     even = (F.col("row_no") % 2) == 0
     kept = lambda rows: staging.classify(rows).where(F.col("status") == "new")
     samples = kept(d.where(even)).select(F.col("row_no").cast("long").alias("sample_id"), "text_hash", "codes", F.lit(1).alias("enabled"))
@@ -303,11 +304,12 @@ def assign_ids(spark, sf):
 
 
 @query(
-    f"WITH {s_staged('lang')} SELECT row_no AS sample_id, text_hash, codes, CAST(256 AS BIGINT) AS n_bytes, 64 AS vector_dim, 'test-v1' AS model_version, 1 AS enabled, repeat('n', 500) AS source_file FROM st JOIN embeddings e ON e.vec_id = st.row_no - 2 WHERE status = 'new'"
+    f"WITH {s_staged('lang')} SELECT row_no AS sample_id, text_hash, codes, CAST(4 * len(e.embedding) AS BIGINT) AS n_bytes, 64 AS vector_dim, 'test-v1' AS model_version, 1 AS enabled, repeat('n', 500) AS source_file FROM st LEFT JOIN embeddings e ON e.vec_id = st.row_no - 2 WHERE status = 'new'"
 )
 def storage_projection(spark, sf):
     e = table(spark, sf, "embeddings").select(F.col("vec_id"), F.col("embedding").alias("vector"))
-    rows = _staged(spark, sf, "lang").where(F.col("status") == "new").join(e, F.col("row_no") - 2 == F.col("vec_id")).withColumn("sample_id", F.col("row_no"))
+    staged = staging.stage(sheet(spark, sf, "lang"), None)
+    rows = staged.where(F.col("status") == "new").join(e, F.col("row_no") - 2 == F.col("vec_id"), "left").withColumn("sample_id", F.col("row_no"))
     out = store.storage_projection(rows, "test-v1", DIM, "n" * 600)
     return out.select("sample_id", "text_hash", "codes", F.octet_length("vector_data").cast("long").alias("n_bytes"), "vector_dim", "model_version", "enabled", "source_file")
 
@@ -338,17 +340,17 @@ def active_samples(spark, sf):
 
 # --- index and search
 def samples(spark: SparkSession, sf: str) -> DataFrame:
-    """Samples with two labels each, from vectors, labels and texts."""
+    """Samples with two labels each, from vectors, labels and texts where there are, as a table: derived once for all that read it."""
     e = table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("sample_id"), F.array(F.concat(F.lit("L"), "label"), F.concat(F.lit("P"), F.col("label") % 2)).alias("codes"), F.col("embedding").alias("vector")
     )
     d = table(spark, sf, "documents").select("doc_id", F.col("text").alias("original_text"), tx.text_hash(tx.normalize(F.col("text"))).alias("text_hash"))
-    return ix.good_samples(ix.build_index(e, DIM)).join(d, F.col("sample_id") == F.col("doc_id")).drop("doc_id")
+    return ix.good_samples(cut(ix.build_index(e, DIM).join(d, F.col("sample_id") == F.col("doc_id"), "left").drop("doc_id"), "samples"))
 
 
 def units(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("sample_id"), F.array(F.concat(F.lit("L"), "label"), F.concat(F.lit("P"), F.col("label") % 2)).alias("codes"), F.lit("").alias("original_text"), F.col("embedding").alias("vector"))
-    return ix.good_samples(ix.build_index(e, DIM))
+    return ix.good_samples(cut(ix.build_index(e, DIM), "units"))
 
 
 def requests_of(df: DataFrame) -> DataFrame:
@@ -435,10 +437,10 @@ def vote_levels(spark, sf):
 
 def predictions(spark, sf):
     s = samples(spark, sf)
-    return vote.predict(requests_of(s).select("query_id", "text_hash", "vector"), s, ix.hash_index(s), CFG, exclude_self=True)
+    return vote.predict(requests_of(s).select("query_id", "text_hash", "vector"), s, ix.hash_index(s), CFG, exclude_self=True, dimension=DIM, settle=lambda df: cut(df, "routed"))
 
 
-ROUTED = f"""{LEVELS}, {S_HASHED}, s AS (SELECT vec_id, label, text_hash FROM embeddings JOIN hd ON doc_id = vec_id),
+ROUTED = f"""{LEVELS}, {S_HASHED}, s AS (SELECT vec_id, label, text_hash FROM embeddings LEFT JOIN hd ON doc_id = vec_id),
 x AS (SELECT a.vec_id AS query_id, max(b.vec_id) AS sample_id FROM s a JOIN s b USING (text_hash) WHERE a.vec_id <> b.vec_id GROUP BY 1),
 m AS (SELECT s.vec_id AS query_id, x.sample_id, CASE WHEN x.sample_id IS NOT NULL THEN 'EXACT' WHEN b.best IS NULL THEN 'NO_RELIABLE_MATCH' ELSE 'SEMANTIC' END AS match_type, CASE WHEN x.sample_id IS NOT NULL THEN 1.0 ELSE coalesce(b.best, 0.0) END AS best
 FROM s LEFT JOIN x ON x.query_id = s.vec_id LEFT JOIN (SELECT query_id, max(sim) AS best FROM h GROUP BY 1) b ON b.query_id = s.vec_id)"""
