@@ -3,8 +3,9 @@
     spark.dataSource.register(XlsxSource)
     spark.read.format("xlsx_sheet").load(path)   # row_no, paragraph, raw_codes; the header is checked
 
-Cells give what they display for strings, booleans and plain numbers; number formats aren't applied. A
-formula gives its text. One file is one partition: files are small by the upload limit.
+Cells give what they display: strings, booleans, and numbers under their formats (cellformat.py). A
+formula gives its text. One file is one partition: files are small by the upload limit. Paths may name any
+file system that Arrow opens; read_bytes() takes those that only Spark reads.
 """
 
 from __future__ import annotations
@@ -14,9 +15,11 @@ import re
 import zipfile
 from xml.etree import ElementTree
 
+from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from kindred import errors as E
+from kindred.sources.cellformat import BUILT_IN, display
 
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
@@ -39,7 +42,18 @@ def _text(node) -> str:
     return "".join(t.text or "" for t in node.iter(f"{_MAIN}t"))
 
 
-def _value(cell, shared: list[str]) -> str:
+def _formats(data: bytes | None) -> list[str | None]:
+    """The format code of each cell style."""
+    if not data:
+        return []
+    root = ElementTree.fromstring(data)
+    own = {int(n.get("numFmtId")): n.get("formatCode") for n in root.iter(f"{_MAIN}numFmt")}
+    styles = root.find(f"{_MAIN}cellXfs")
+    ids = [int(x.get("numFmtId") or 0) for x in styles] if styles is not None else []
+    return [own.get(i, BUILT_IN.get(i)) for i in ids]
+
+
+def _value(cell, shared: list[str], formats: list[str | None], since_1904: bool) -> str:
     formula = cell.find(f"{_MAIN}f")
     if formula is not None and formula.text:
         return formula.text
@@ -54,8 +68,8 @@ def _value(cell, shared: list[str]) -> str:
         return "TRUE" if v.text == "1" else "FALSE"
     if kind in ("str", "e"):
         return v.text
-    number = float(v.text)
-    return str(int(number)) if number.is_integer() and abs(number) < 1e11 else f"{number:.10g}"
+    style = int(cell.get("s") or 0)
+    return display(float(v.text), formats[style] if style < len(formats) else None, since_1904)
 
 
 def read_sheet(data: bytes) -> list[tuple[int, str, str]]:
@@ -73,6 +87,9 @@ def read_sheet(data: bytes) -> list[tuple[int, str, str]]:
             shared = []
             if "xl/sharedStrings.xml" in names:
                 shared = [_text(s) for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{_MAIN}si")]
+            formats = _formats(z.read("xl/styles.xml") if "xl/styles.xml" in names else None)
+            about = book.find(f"{_MAIN}workbookPr")
+            since_1904 = about is not None and about.get("date1904") in ("1", "true")
             rows, at = [], 0
             for row in ElementTree.fromstring(z.read(path)).iter(f"{_MAIN}row"):
                 at = int(row.get("r") or at + 1)
@@ -86,7 +103,7 @@ def read_sheet(data: bytes) -> list[tuple[int, str, str]]:
                     else:
                         column += 1
                     if column <= 2:
-                        cells[column] = _trim(_value(c, shared))
+                        cells[column] = _trim(_value(c, shared, formats, since_1904))
                 rows.append((at, cells.get(1, ""), cells.get(2, "")))
             return rows
     except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, ValueError, IndexError) as e:
@@ -101,6 +118,12 @@ def data_rows(rows: list[tuple[int, str, str]]) -> list[tuple[int, str, str]]:
     return [r for r in rows if r[0] > 1]
 
 
+def read_bytes(spark: SparkSession, path: str) -> tuple[str, bytes]:
+    """Name and content of one file, through Spark's own file systems."""
+    row = spark.read.format("binaryFile").load(path).select("path", "content").first()
+    return row.path.rsplit("/", 1)[-1], bytes(row.content)
+
+
 class _File(InputPartition):
     def __init__(self, path: str):
         super().__init__(path)
@@ -115,7 +138,10 @@ class _Reader(DataSourceReader):
         return [_File(self.path)]
 
     def read(self, partition):
-        with open(partition.path, "rb") as f:
+        from pyarrow import fs
+
+        system, path = fs.FileSystem.from_uri(partition.path) if "://" in partition.path else (fs.LocalFileSystem(), partition.path)
+        with system.open_input_file(path) as f:
             data = f.read()
         check_upload(partition.path, data)
         yield from data_rows(read_sheet(data))
