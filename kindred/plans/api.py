@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.config import EngineConfig
-from kindred.errors import MSG_PARAGRAPH_EMPTY, UNAVAILABLE, EngineError
+from kindred.errors import MSG_PARAGRAPH_EMPTY, UNAVAILABLE, EngineError, raised_by_worker
 from kindred.functions import text as tx
 from kindred.operators import staging, store as st, vote
 from kindred.operators.index import IndexHolder, hash_index
@@ -44,10 +44,15 @@ class Engine:
             raise
         return self.import_samples(self.spark.createDataFrame(rows, SHEET), name)
 
+    def import_path(self, path: str) -> dict:
+        """import_file() of one file in any file system that Spark reads."""
+        return self.import_file(*xlsx.read_bytes(self.spark, path))
+
     def import_samples(self, sheet: DataFrame, source_file: str | None = None) -> dict:
         """All or nothing: any error leaves the store as it was."""
         cap = self.cfg.imports.max_rows
         staged = staging.stage(sheet, cap, self.cfg.search.max_paragraph_length).persist()
+        compared = None
         try:
             total, skipped = staged.agg(F.count("*"), F.count_if(F.col("status") == "skipped")).first()
             errors = staging.errors(staged, cap)
@@ -59,8 +64,12 @@ class Engine:
                 return self._failed(total, skipped, found)
             fresh = compared.where(F.col("store_status") == "new")
             inserted = 0 if fresh.isEmpty() else self._insert(fresh, source_file)
+        except Exception as e:
+            raise raised_by_worker(e) or e
         finally:
             staged.unpersist()
+            if compared is not None:
+                compared.unpersist()
         reloaded = True
         try:
             self.reload_index()
@@ -76,7 +85,11 @@ class Engine:
         return self.store.insert_all(st.storage_projection(embedded, emb.model_version, emb.dimension, source_file))
 
     def predict(self, requests: DataFrame) -> DataFrame:
-        """Predictions of (query_id, paragraph); empty or too long paragraphs are an error."""
+        """Predictions of (query_id, paragraph); empty or too long paragraphs are an error.
+
+        The frame is lazy: an embedder's failure is raised where its rows are taken, as Spark's exception, and
+        errors.raised_by_worker() gives the EngineError with its code. predict_one() and envelope() do so.
+        """
         snapshot = self.index.current
         if snapshot is None:
             raise EngineError("index not loaded", UNAVAILABLE)
@@ -86,13 +99,16 @@ class Engine:
             raise EngineError(bad.e)
         ready = ready.withColumn("text_hash", tx.text_hash(F.col("normalized_text")))
         embed = lambda df: embed_column(df, self.embedder, "normalized_text", self.cfg.embedding.batch_size)
-        return vote.predict(ready, snapshot.samples, hash_index(snapshot.samples), self.cfg.search, embed)
+        return vote.predict(ready, snapshot.samples, hash_index(snapshot.samples), self.cfg.search, embed, dimension=self.cfg.embedding.dimension)
 
     def predict_one(self, paragraph: str | None) -> dict:
         if paragraph is None or not paragraph.strip("".join(map(chr, range(33)))):
             raise EngineError(MSG_PARAGRAPH_EMPTY)
         started = time.monotonic()
-        row = self.predict(self.spark.createDataFrame([(1, paragraph)], "query_id long, paragraph string")).first()
+        try:
+            row = self.predict(self.spark.createDataFrame([(1, paragraph)], "query_id long, paragraph string")).first()
+        except Exception as e:
+            raise raised_by_worker(e) or e
         log.info("predicted in %d ms, %s", (time.monotonic() - started) * 1000, row.match_type)
         return {**row.asDict(recursive=True), "model_version": self.cfg.embedding.model_version}
 

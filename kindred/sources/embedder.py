@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import http.client
 import json
 import math
 import urllib.error
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from kindred.config import EmbeddingConfig
-from kindred.errors import UNAVAILABLE, EngineError
+from kindred.errors import UNAVAILABLE, EngineError, marked
 
 
 class Embedder(Protocol):
@@ -63,7 +64,7 @@ class HttpEmbedder:
         request = urllib.request.Request(self.cfg.endpoint, json.dumps({"inputs": texts}).encode(), {"Content-Type": "application/json"})
         for left in range(max(0, self.cfg.max_retries), -1, -1):
             try:
-                with urllib.request.urlopen(request, timeout=max(self.cfg.connect_timeout_ms, self.cfg.read_timeout_ms) / 1000) as reply:
+                with self._opener().open(request) as reply:
                     body = json.load(reply)
                 return parse_response(body, len(texts), self.dimension)
             except urllib.error.HTTPError as e:
@@ -76,6 +77,29 @@ class HttpEmbedder:
                 raise EngineError(f"embedding reply can't be processed: {type(e).__name__}", UNAVAILABLE) from e
         raise AssertionError
 
+    def _opener(self) -> urllib.request.OpenerDirector:
+        """Connections that give up after connect_timeout_ms, and once connected wait read_timeout_ms for each read."""
+        connect, read = self.cfg.connect_timeout_ms / 1000, self.cfg.read_timeout_ms / 1000
+
+        def timed(kind: type[http.client.HTTPConnection]) -> type[http.client.HTTPConnection]:
+            class Timed(kind):
+                def connect(self):
+                    self.timeout = connect
+                    super().connect()
+                    self.sock.settimeout(read)
+
+            return Timed
+
+        class Plain(urllib.request.HTTPHandler):
+            def http_open(self, request):
+                return self.do_open(timed(http.client.HTTPConnection), request)
+
+        class Secure(urllib.request.HTTPSHandler):
+            def https_open(self, request):
+                return self.do_open(timed(http.client.HTTPSConnection), request)
+
+        return urllib.request.build_opener(Plain, Secure)
+
     def is_healthy(self) -> bool:
         try:
             self.embed(["health"])
@@ -110,9 +134,12 @@ def embed_column(df: DataFrame, embedder: Embedder, text: str, batch_size: int =
             vectors: list[list[float]] = []
             for at in range(0, len(pdf), step):
                 texts = pdf[text].iloc[at : at + step].tolist()
-                got = embedder.embed(texts)
+                try:
+                    got = embedder.embed(texts)
+                except EngineError as e:
+                    raise marked(e) from e
                 if len(got) != len(texts) or any(len(v) != embedder.dimension for v in got):
-                    raise EngineError("embedding batch incomplete", UNAVAILABLE)
+                    raise marked(EngineError("embedding batch incomplete", UNAVAILABLE))
                 vectors += got
             yield pdf.assign(vector=pd.Series(vectors, index=pdf.index, dtype=object))
 

@@ -1,8 +1,12 @@
 """Text, vector, import, index and prediction semantics on small rows."""
 
 import http.server
+import io
 import json
+import socket
 import threading
+import time
+import zipfile
 from dataclasses import replace
 
 import numpy as np
@@ -17,6 +21,7 @@ from kindred.operators import index as ix
 from kindred.operators import staging, store, vote
 from kindred.plans.api import Engine
 from kindred.sources import xlsx
+from kindred.sources.cellformat import display
 from kindred.sources.embedder import HashEmbedder, HttpEmbedder, parse_response
 from kindred.streaming.predictions import predict_stream
 
@@ -230,3 +235,102 @@ def test_ids_follow_rows(spark):
     rows = spark.range(10000).select((F.col("id") * 3).alias("row_no"))
     got = store.assign_ids(rows.repartition(7), 5).orderBy("row_no").collect()
     assert [r.sample_id for r in got] == list(range(5, 10005))
+
+
+class Down(Fixed):
+    """Fails as a client does that can't reach its service, from the call `good` on."""
+
+    def __init__(self, good=0):
+        super().__init__()
+        self.good = good
+
+    def embed(self, texts):
+        if any(t.startswith("fail") for t in texts) or not self.good:
+            raise E.EngineError("embedding service failed: URLError", E.UNAVAILABLE)
+        return super().embed(texts)
+
+
+def test_model_failures_are_503(spark, tmp_path):
+    e = engine(spark, tmp_path / "s")
+    e.embedder = Down()
+    rows = sheet(spark, [("p", "A")])
+    want = {"code": 503, "message": "embedding service failed: URLError", "data": None}
+    assert E.envelope(e.import_samples, rows) == want and E.envelope(e.predict_one, "p") == want
+    assert E.envelope(lambda: e.predict(spark.createDataFrame([(1, "q")], "query_id long, paragraph string")).collect()) == want
+    with pytest.raises(E.EngineError) as error:
+        e.import_samples(rows)
+    assert error.value.code == 503
+    # no folder stays after a failed embed, and nothing is left in memory
+    assert list((tmp_path / "s").glob("v*")) == [] and e.store.read().count() == 0
+    e.embedder = Down(good=1)
+    assert e.import_samples(rows)["inserted"] == 1 and E.envelope(e.import_samples, sheet(spark, [("q", "A"), ("fail", "A")]))["code"] == 503
+    assert e.store.read().count() == 1 and len(list((tmp_path / "s").glob("v*"))) == 2  # a folder and its marker
+
+
+def test_reloads_hold_one_index(spark, tmp_path):
+    e = engine(spark, tmp_path / "s")
+    held = lambda: spark.sparkContext._jsc.getPersistentRDDs().size()
+    e.import_samples(sheet(spark, [("p", "A")]))
+    n = held()
+    for _ in range(5):
+        e.reload_index()
+    assert held() <= n  # fewer when Spark has dropped what others left
+    assert not e.import_samples(sheet(spark, [("p", "B")]))["success"] and held() <= n
+
+
+def test_query_vectors_of_a_wrong_size(spark):
+    good = ix.good_samples(corpus(spark))
+    for vector in ([1.0, 0.0], None):
+        ask = spark.createDataFrame([(8, "h", vector)], "query_id long, text_hash string, vector array<float>")
+        got = E.envelope(lambda: vote.predict(ask, good, ix.hash_index(good), CFG, dimension=3).collect())
+        assert (got["code"], got["message"]) == (400, E.MSG_QUERY_DIMENSION)
+    assert vote.predict(ask, good, ix.hash_index(good), CFG).first().match_type == "NO_RELIABLE_MATCH"
+
+
+def test_names_are_cut_by_utf16_units(spark):
+    for name in ("x" * 600, "😀" * 300, "x" + "😀" * 300, "段" * 500, "short", None):
+        units = (name or "").encode("utf-16-le")[:1000].decode("utf-16-le", "ignore")
+        assert one(spark, name, tx.truncate_name) == (units if name is not None else None)
+
+
+@pytest.mark.parametrize("number, code, want", [
+    (3.0, None, "3"), (0.1 + 0.2, "General", "0.3"), (1234.5, "0", "1235"), (1234.567, "#,##0.00", "1,234.57"), (0.256, "0%", "26%"), (0.2564, "0.00%", "25.64%"),
+    (-1234.5, "#,##0.00_);(#,##0.00)", "(1,234.50)"), (-2.0, "0.0", "-2.0"), (5, "000", "005"), (0.5, "#.##", ".5"), (1234567, "#,##0,", "1,235"), (12345, "0.00E+00", "1.23E+04"),
+    (7, '"T"00', "T07"), (5, '0"件"', "5件"), (3, "[Red]0;[Blue]-0;zero", "3"), (0, '0;-0;"none"', "none"), (9.5, '[$¥-804]#,##0.00', "¥9.50"),
+    (45292, "yyyy-mm-dd", "2024-01-01"), (45292.75, "yyyy/m/d h:mm", "2024/1/1 18:00"), (45292.75, "h:mm AM/PM", "6:00 PM"), (45292, 'yyyy"年"m"月"d"日"', "2024年1月1日"),
+    (45292, "d-mmm-yy", "1-Jan-24"), (1.5, "[h]:mm:ss", "36:00:00"), (0.000694444, "mm:ss", "01:00"), (59, "m/d/yy", "2/28/00"), (61, "m/d/yy", "3/1/00"),
+])
+def test_cells_show_their_format(number, code, want):
+    assert display(float(number), code) == want
+
+
+def test_formatted_cells_of_a_sheet():
+    book = io.BytesIO(xlsx.write_sheet([("p", "A")]))
+    out = io.BytesIO()
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    with zipfile.ZipFile(book) as a, zipfile.ZipFile(out, "w") as b:
+        for n in a.namelist():
+            data = a.read(n).decode()
+            if n.endswith("sheet1.xml"):
+                data = data.replace("</sheetData>", '<row r="3"><c r="A3" s="1"><v>45292</v></c><c r="B3" s="2"><v>0.5</v></c></row></sheetData>')
+            b.writestr(n, data)
+        b.writestr("xl/styles.xml", f'<styleSheet {main}><numFmts count="1"><numFmt numFmtId="164" formatCode="yyyy\\-mm"/></numFmts><cellXfs count="3"><xf numFmtId="0"/><xf numFmtId="164"/><xf numFmtId="9"/></cellXfs></styleSheet>')
+    assert xlsx.read_sheet(out.getvalue())[2] == (3, "2024-01", "50%")
+
+
+def test_import_by_path(spark, tmp_path):
+    (tmp_path / "a.xlsx").write_bytes(xlsx.write_sheet([("p", "A")]))
+    e = engine(spark, tmp_path / "s")
+    assert e.import_path(f"file://{tmp_path}/a.xlsx")["inserted"] == 1 and e.store.read().first().source_file == "a.xlsx"
+
+
+def test_connect_and_read_timeouts():
+    client = HttpEmbedder(EmbeddingConfig(connect_timeout_ms=1500, read_timeout_ms=400, dimension=3, max_retries=0))
+    with socket.socket() as server:  # takes connections and never answers
+        server.bind(("127.0.0.1", 0))
+        server.listen()
+        client.cfg = replace(client.cfg, endpoint=f"http://127.0.0.1:{server.getsockname()[1]}/")
+        started = time.monotonic()
+        with pytest.raises(E.EngineError):
+            client.embed(["x"])
+        assert 0.3 < time.monotonic() - started < 1.4  # the read timeout, not the other
