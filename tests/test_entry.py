@@ -20,7 +20,7 @@ def test_entry_without_the_subpackage():
         "import sys\n"
         "class Gone:\n"
         "    def find_spec(self, name, path=None, target=None):\n"
-        "        if name == 'corpus_pipeline' or name.startswith('kindred.llm'): raise ImportError(name)\n"
+        "        if name == 'corpus_pipeline' or name.startswith('kindred.llm'): raise ModuleNotFoundError(name, name=name)\n"
         "sys.meta_path.insert(0, Gone())\n"
         "import __spark_entry__ as e\n"
         "assert len(e.queries()) == 45 and not any(q.startswith('op') or q == 'pipeline' for q in e.queries())\n"
