@@ -2,20 +2,23 @@
 
 Documents are range-partitioned by id and cut into shards of about a million ids. Within a shard frequent id pairs are
 replaced by nonterminals, round after round: a round takes the most frequent pairs of the moment, as long as no
-symbol is the left half of one and the right half of another, so that their replacements don't interfere. Symbols
-stay below 65,536, so a symbol takes two bytes. A shard's file holds the rules, the expansion length
+symbol is the left half of one and the right half of another, so that their replacements don't interfere; of a run of one
+symbol, every other pair is replaced. Rounds end when no pair is frequent enough or symbols run out: they stay below
+65,536, so that a symbol takes two bytes. A larger vocabulary is an error. A shard's file holds the rules, the expansion length
 of every rule, the documents' symbol and id offsets, and the symbols; one document, or any range of ids, is decoded from
 these alone. Pairs never cross documents.
 
 A file is one binary value of a Parquet table in the shared folder: Spark's commit makes a lost
 task's file appear once. The table's columns order the files.
 
-Cases: null text is empty: its ids are the end id alone. Repeated ids follow each other, equal rows in any order.
+Cases: null text is empty: its ids are the end id alone. Very long texts are encoded and compressed whole, in a shard that is as
+much larger. Ties: of pairs with equal counts the smaller number goes first. Repeated ids follow each other, equal rows in any order.
 Null ids come first. An empty table gives no files and an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import itertools
 import struct
 import zlib
 from collections.abc import Iterator
@@ -27,35 +30,47 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kindred.llm.common import cut, map_arrow, ranges, utf8
+from kindred.llm.common import blocks, bounded, cut, give_back, map_arrow, ranges, utf8
 from kindred.llm.tokens import encoder, vocabulary
 
 MAGIC = b"RPG1"
 HEAD = "<4sIIIIQQ"
 END_ID = 0
 SHARD_IDS = 1 << 20
+BLOCK = 6 << 20  # bytes of text encoded at once
 SHARDS = "part int, number int, n_docs long, n_ids long, file binary"
 
 
 @dataclass(frozen=True)
 class RepairParams:
-    rounds: int = 5
+    rounds: int | None = None  # as many as find pairs
     pairs: int = 3000  # at most, in a round
     least: int = 12  # occurrences of a pair worth a rule
 
 
-def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _frequent(keys: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that can be replaced `least` times, most frequent first, ties by number, and how often. Of a run of n
+    symbols, n / 2 pairs can."""
     keys = np.sort(keys)
-    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[at], np.diff(np.append(at, len(keys)))
+    held = keys[:-least + 1 or None] == keys[least - 1 :]
+    held[1:] &= keys[1 : len(held)] != keys[: len(held) - 1]
+    first = np.flatnonzero(held)
+    pairs = keys[first]
+    n = np.searchsorted(keys, pairs, "right") - first
+    n = np.where(pairs >> np.uint32(16) == pairs & np.uint32(0xFFFF), (n + 1) // 2, n)
+    order = np.lexsort((pairs, -n))
+    order = order[n[order] >= least]
+    return pairs[order], n[order]
 
 
 def compress(ids: np.ndarray, counts: np.ndarray, vocabulary_size: int, params: RepairParams = RepairParams()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols, the number of symbols of each document, and the rules (left, right)."""
+    if vocabulary_size > 1 << 16:
+        raise ValueError(f"a vocabulary of {vocabulary_size} ids: symbols take two bytes")
     symbols, counts = ids.astype(np.uint32), counts.astype(np.int64)
     rules: list[np.ndarray] = []
     top = vocabulary_size
-    for _ in range(params.rounds):
+    for _ in itertools.count() if params.rounds is None else range(params.rounds):
         limit = min(params.pairs, (1 << 16) - top)
         if limit <= 0 or len(symbols) < 2:
             break
@@ -63,17 +78,13 @@ def compress(ids: np.ndarray, counts: np.ndarray, vocabulary_size: int, params:
         last[np.cumsum(counts)[counts > 0] - 1] = True
         keys = (symbols[:-1] << np.uint32(16)) | symbols[1:]
         free = ~last[:-1]
-        if not free.any():
-            break
-        pairs, n = _runs(keys[free])
-        order = np.flatnonzero(n >= params.least)
-        order = order[np.lexsort((pairs[order], -n[order]))][: 2 * limit]
+        pairs, _ = _frequent(keys[free], params.least)
         side: dict[int, int] = {}
         chosen = []
-        for key in pairs[order].tolist():
+        for key in pairs[: 2 * limit].tolist():
             a, b = key >> 16, key & 0xFFFF
-            if a != b and side.get(a, 0) == 0 and side.get(b, 1) == 1:
-                side[a], side[b] = 0, 1
+            if (a not in side) if a == b else (side.get(a, 0) == 0 and side.get(b, 1) == 1):
+                side[a], side[b] = (2, 2) if a == b else (0, 1)
                 chosen.append(key)
                 if len(chosen) == limit:
                     break
@@ -87,12 +98,12 @@ def compress(ids: np.ndarray, counts: np.ndarray, vocabulary_size: int, params:
         table[(found * spread) >> np.uint32(14)] = np.arange(len(found))
         slot = table[(keys * spread) >> np.uint32(14)]
         at = np.flatnonzero((found[slot] == keys) & free)
+        run = np.maximum.accumulate(np.where(np.diff(at, prepend=-2) != 1, at, 0))
+        at = at[(at - run) % 2 == 0]  # matches that follow each other are a run of one symbol
         symbols[at] = top + slot[at]
         keep = np.ones(len(symbols), bool)
         keep[at + 1] = False  # no match starts where another one ends
-        ends = np.cumsum(counts)
-        gone = np.concatenate([[0], np.cumsum(~keep)])
-        counts = counts - (gone[ends] - gone[ends - counts])
+        counts = counts - np.diff(np.searchsorted(at, np.cumsum(counts)), prepend=0)
         symbols = symbols[keep]
         rules.append(found)
         top += len(found)
@@ -196,33 +207,45 @@ def write(docs: DataFrame, vocabulary_path: str | None = None, end_id: int = END
             return pa.RecordBatch.from_arrays(row, ["part", "number", "n_docs", "n_ids", "file", "doc_ids"])
 
         have = 0
-        for batch in batches:
+        give_back("encoders")
+        for batch in gathered(batches, BLOCK):
             _, offsets = utf8(batch.column(1))
-            at, n = 0, batch.num_rows
-            while at < n:
-                end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + (4 << 20), "right")) - 1)
-                end = min(end, n)
-                ids, counts = enc.encode(batch.column(1).slice(at, end - at))
+            for i, j in blocks(offsets, BLOCK):
+                ids, counts = enc.encode(batch.column(1).slice(i, j - i))
                 ids = np.insert(ids, np.cumsum(counts), end_id)
-                held.append((batch.column(0).slice(at, end - at).to_pylist(), ids, counts + 1))
+                held.append((batch.column(0).slice(i, j - i).to_pylist(), ids, counts + 1))
                 have += len(ids)
-                at = end
                 if have >= shard_ids:
                     yield shard()
                     have = 0
         if held:
             yield shard()
+        give_back("encoders")
 
+    bounded(docs.sparkSession)
     return cut(ordered.mapInArrow(run, f"{SHARDS}, doc_ids array<long>"), "id-shards")
 
 
+def gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in batches of about `size` bytes: a block's repeated words are looked up once."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= size:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def read(shards: DataFrame) -> DataFrame:
     """Per document, from the files: doc_id, start (ids of all documents before), n_tokens, ids_crc32.
 
-    The running total is over one row a file.
+    The running total is over one row a file, and is a table, so that Spark sees whether it is small enough to be sent to
+    the files; else they are joined.
     """
     before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)
-    bases = shards.select("part", "number", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
+    bases = cut(shards.select("part", "number", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base")), "shard-bases")
     joined = shards.join(bases, ["part", "number"]).select("base", "file", "doc_ids")
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

@@ -10,7 +10,8 @@ number depends on the lengths, not on the corpus) are placed first-fit decreasin
 The histogram and the plan are the only things on the driver, and both are bounded by the number of lengths.
 
 Cases: null text is empty and has one id, the end id; an empty table gives an empty result; repeated rows are
-documents of their own; very long texts become many full sequences. Other columns are ignored.
+documents of their own; very long texts become many full sequences; ties: pieces of one length rank by bucket, id, place and
+CRC. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -60,13 +61,17 @@ def best_pattern(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> tupl
     return float(prices @ counts), counts
 
 
-def cutting_stock(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 2000) -> list[tuple[np.ndarray, float]]:
-    """Patterns and how often the linear program uses them, by column generation with a revised simplex."""
+def cutting_stock(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> list[tuple[np.ndarray, float]]:
+    """Patterns and how often the linear program uses them, by column generation with a revised simplex.
+
+    It goes on until no pattern is worth its cost, or until ten times as many changes as there are lengths save nothing.
+    """
     m = len(lengths)
     columns = np.diag(capacity // lengths).astype(np.float64)
     inverse = np.diag(1.0 / np.diag(columns))
     use = inverse @ demand
-    for _ in range(rounds):
+    least, idle = float(use.sum()), 0
+    while idle < 10 * m:
         value, pattern = best_pattern(lengths, np.ones(m) @ inverse, capacity)
         if value <= 1 + 1e-9:
             break
@@ -78,6 +83,8 @@ def cutting_stock(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds
         inverse -= np.outer(step, row)
         inverse[out] = row
         use = np.maximum(inverse @ demand, 0)
+        idle = 0 if use.sum() < least - 1e-9 else idle + 1
+        least = min(least, float(use.sum()))
     return [(columns[:, k].astype(np.int64), float(use[k])) for k in range(m)]
 
 
@@ -149,7 +156,7 @@ def pieces(docs: DataFrame, vocabulary_path: str, end_id: int = END_ID) -> DataF
                     start += length
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[0], pa.int64())), *(pa.array(c, pa.int64()) for c in row[1:])], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return map_arrow(docs.select("doc_id", "text"), run, PIECES)
+    return map_arrow(docs.select("doc_id", "text"), run, PIECES, keep="encoders")
 
 
 def assign(rows: DataFrame) -> DataFrame:

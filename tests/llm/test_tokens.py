@@ -140,6 +140,16 @@ def test_shards_get_smaller():
     assert len(file) < len(ids) / 4 and len(grammar.Shard(file).rules) > 0
 
 
+def test_runs_of_one_id_and_large_vocabularies():
+    ids = np.array([7] * 4096 + [8, 9, 7, 7, 7], np.uint32)
+    counts = np.array([1001, 3095, 0, 5])
+    shard = grammar.Shard(grammar.write_shard(ids, counts, 10))
+    assert shard.decode().tolist() == ids.tolist() and shard.decode(3, 4).tolist() == [8, 9, 7, 7, 7]
+    assert shard.rule_lengths.max() >= 64 and len(shard.symbols) < 100
+    with pytest.raises(ValueError):
+        grammar.write_shard(ids, counts, 70_000)
+
+
 def check_grammar(got, texts):
     lib, base = library("byte_bpe_50k.json"), 0
     want = Counter()
