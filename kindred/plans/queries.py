@@ -304,14 +304,14 @@ def assign_ids(spark, sf):
 
 
 @query(
-    f"WITH {s_staged('lang')} SELECT row_no AS sample_id, text_hash, codes, CAST(4 * len(e.embedding) AS BIGINT) AS n_bytes, 64 AS vector_dim, 'test-v1' AS model_version, 1 AS enabled, repeat('n', 500) AS source_file FROM st LEFT JOIN embeddings e ON e.vec_id = st.row_no - 2 WHERE status = 'new'"
+    f"WITH {s_staged('lang')} SELECT row_no AS sample_id, text_hash, codes, CAST(coalesce(4 * len(e.embedding), 0) AS BIGINT) AS n_bytes, 64 AS vector_dim, 'test-v1' AS model_version, 1 AS enabled, repeat('n', 500) AS source_file FROM st LEFT JOIN embeddings e ON e.vec_id = st.row_no - 2 WHERE status = 'new'"
 )
 def storage_projection(spark, sf):
     e = table(spark, sf, "embeddings").select(F.col("vec_id"), F.col("embedding").alias("vector"))
     staged = staging.stage(sheet(spark, sf, "lang"), None)
     rows = staged.where(F.col("status") == "new").join(e, F.col("row_no") - 2 == F.col("vec_id"), "left").withColumn("sample_id", F.col("row_no"))
     out = store.storage_projection(rows, "test-v1", DIM, "n" * 600)
-    return out.select("sample_id", "text_hash", "codes", F.octet_length("vector_data").cast("long").alias("n_bytes"), "vector_dim", "model_version", "enabled", "source_file")
+    return out.select("sample_id", "text_hash", "codes", F.coalesce(F.octet_length("vector_data"), F.lit(0)).cast("long").alias("n_bytes"), "vector_dim", "model_version", "enabled", "source_file")
 
 
 @query(None)
