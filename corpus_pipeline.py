@@ -10,6 +10,13 @@
 5. packing: the mixture's ids are packed into sequences of 2,048.
 
 All but the last return the columns of documents.
+
+Cases, by stage: an empty table gives an empty one, and columns beyond those of documents go through, whatever their names.
+Null text and text without letters go in 1; the later stages hold null for empty. Null ids are ids: in 2 they lose to any other id
+of their group, and in 4 they draw as one. Null lang isn't judged in 1, null source is a source of its own in 4. Texts without words are copies in 2
+only where they are equal, take no words in 4 and, if empty, pack as the end id alone. Very long texts are judged, compared, redacted and
+cut whole. Ties: 1 takes the language with more training rows, 2 the smaller id, then the hash of the text, 4 draws alike for equal
+ids, 5 ranks by id. Repeated rows are one row after 2, the least by all its columns.
 """
 
 from __future__ import annotations
@@ -20,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.llm import jaccard, language, mixing, packing, pii
-from kindred.llm.common import cut, documents
+from kindred.llm.common import cut, documents, drop_table
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +63,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = documents(spark, sf_dir)
+    rows, before = documents(spark, sf_dir), None
     for name, stage in STAGES[:-1]:
         rows = cut(stage(spark, rows, sf_dir), f"stage-{name}")
+        if before is not None:
+            drop_table(before)
+        before = rows
     return STAGES[-1][1](spark, rows, sf_dir)
