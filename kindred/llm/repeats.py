@@ -12,29 +12,36 @@ their own are dropped. The rest are compared by their context, the bytes within
   search over prefix polynomial hashes; the extensions of neighbours are then verified against the bytes, and a
   batch with a collision is sorted by its bytes instead. For each place of the anchor in a string, runs of long enough
   extensions are classes; a string repeats when another context is in both its classes;
-* an anchor with very many contexts (`group`) is split: its strings are counted one by one by digest, which combines
-  map-side and has no group at all.
+* a group of more than `group` contexts is split before it is sorted: the places of the anchor in a string are halved, and
+  for either half the contexts are grouped anew by the bytes that all strings of those places share. Contexts that agree on all
+  bytes of these strings repeat there as a whole, and one of them stands for all from then on; so where very many texts share a passage, only
+  the half in which it begins or ends is halved again. Groups that are small enough are sorted as above; in a half of
+  one place nothing is left to sort.
 
-Texts are scanned three times and shuffled only where they hold repeats. Bit sets of a fixed size say which those are.
+Texts are scanned three times and shuffled only where they hold repeats. Bit sets of a bounded size say which those are.
 
-Cases: null is empty; texts shorter than `size` lose nothing; repeated rows repeat each other and lose all that a string
-covers; null ids are ids; an empty table gives an empty result. Other columns are ignored.
+Cases: null is empty; texts shorter than `size` lose nothing; very long texts are scanned in whole, one text in memory; repeated
+rows repeat each other and lose all that a string covers; equal anchors and equal suffixes (ties) all count, in order of
+position; null ids are ids; an empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import KeyFilter, blocks, byte_codes, cut, map_arrow, mix64, prefix_hashes, ranges, substring_hashes, utf8
+from kindred.llm.common import KeyFilter, blocks, bounded, byte_codes, cut, drop_table, give_back, map_arrow, mix64, prefix_hashes, ranges, substring_hashes, utf8
 
-SIZE, GRAM, GROUP, BATCH = 400, 200, 5_000, 4_000
+SIZE, GRAM, GROUP, BATCH = 400, 200, 5_000, 1_500  # group: contexts sorted together, at most
+BLOCK = 1 << 19  # bytes of text or contexts handled at once
 _CODES = byte_codes()
 _NEVER = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -77,7 +84,7 @@ def _anchor_rows(docs: DataFrame, size: int, gram: int) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         raw, offsets = utf8(batch.column(2))
-        for i, j in blocks(offsets):
+        for i, j in blocks(offsets, BLOCK):
             own, borders = raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
             row, at, h = anchors(own, borders, size, gram)
             if not len(at):
@@ -173,10 +180,11 @@ class Suffixes:
         return order, extension
 
 
-def shared_places(group: np.ndarray, contexts: list[bytes], before: np.ndarray, size: int = SIZE, gram: int = GRAM) -> np.ndarray:
+def shared_places(group: np.ndarray, contexts: list[bytes], before: np.ndarray, size: int = SIZE, gram: int = GRAM, lo: np.ndarray | int = 0, hi: np.ndarray | int | None = None) -> np.ndarray:
     """For contexts of grouped anchors (groups ascending), whether the string that starts o bytes before the anchor
-    is also in another context of the group: a table (context, o)."""
+    is also in another context of the group: a table (context, o), for lo <= o < hi."""
     n, places = len(contexts), size - gram + 1
+    hi = places if hi is None else hi
     lengths = np.array([len(c) for c in contexts], np.int64)
     ends = np.cumsum(lengths)
     data = np.frombuffer(b"".join(contexts), np.uint8)
@@ -187,10 +195,10 @@ def shared_places(group: np.ndarray, contexts: list[bytes], before: np.ndarray,
     tables = [s.sort(group) for s in (right, left)]
     out = np.zeros((n, places), bool)
     classes = [np.empty(n, np.int64), np.empty(n, np.int64)]
-    for o in range(places):
+    for o in range(int(np.min(lo)), int(np.max(hi))):
         for side, ((order, extension), need) in enumerate(zip(tables, (size - o, o))):
             classes[side][order] = np.cumsum(extension < need)
-        fit = np.flatnonzero((before >= o) & (after >= size - o))
+        fit = np.flatnonzero((before >= o) & (after >= size - o) & (lo <= o) & (o < hi))
         key = classes[0][fit] * (n + 1) + classes[1][fit]
         _, which, count = np.unique(key, return_inverse=True, return_counts=True)
         out[fit, o] = count[which] > 1
@@ -209,58 +217,114 @@ SPANS = "doc_id long, th long, a int, b int"
 
 
 def repeated_spans(docs: DataFrame, size: int = SIZE, gram: int = GRAM, group: int = GROUP) -> DataFrame:
-    """(doc_id, th, a, b): byte ranges that repeated strings cover, overlapping ones among them. th tells texts of one id apart."""
+    """(doc_id, th, a, b): byte ranges that repeated strings cover, overlapping ones among them, as a table. th tells texts of one id apart."""
     keyed = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
-    rows = cut(_anchor_rows(keyed, size, gram), "anchors")
-    multiple = rows.groupBy(F.col("h").alias("h2")).agg(F.count("*").alias("n")).where("n > 1").select("h2")
-    rows = cut(rows.join(multiple, F.col("h") == F.col("h2"), "left_semi"), "shared-anchors")
+    every = cut(_anchor_rows(keyed, size, gram), "anchors")
+    # counts are tables, so that Spark can split a hash with very many rows where they are joined
+    multiple = cut(every.groupBy(F.col("h").alias("h2")).agg(F.count("*").alias("n")).where("n > 1").select("h2"), "shared-hashes")
+    rows = cut(every.join(multiple, F.col("h") == F.col("h2"), "left_semi"), "shared-anchors")
+    drop_table(every)
+    drop_table(multiple)
     contexts = rows.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "pos", "before", "after")).alias("x"))
     contexts = cut(contexts, "contexts")
     whole = rows.join(contexts.where("n > 1").select(F.col("h").alias("h2"), F.col("c").alias("c2")), (F.col("h") == F.col("h2")) & (F.col("c") == F.col("c2")))
     start, stop = F.col("pos") - F.col("before"), F.col("pos") + F.least(F.lit(size), F.col("after"))
     copied = whole.where(F.col("before") + F.col("after") >= size).select("doc_id", "th", start.cast("int").alias("a"), stop.cast("int").alias("b"))
 
-    many = contexts.groupBy(F.col("h").alias("h2")).agg(F.count("*").alias("k")).where("k > 1")
-    open_ = contexts.join(many, F.col("h") == F.col("h2")).select("h", "x.*", (F.col("k") > group).alias("hot"))
-    wanted = cut(open_.groupBy("doc_id", "th").agg(F.collect_list(F.struct("h", "pos", "before", "after", "hot")).alias("at")), "open-anchors")
-    filtered = _only(keyed, wanted)
+    many = cut(contexts.groupBy(F.col("h").alias("h2")).agg(F.count("*").alias("k")).where("k > 1").select("h2"), "open-hashes")
+    open_ = contexts.join(many, F.col("h") == F.col("h2"), "left_semi").select("h", "x.*")
+    wanted = cut(open_.groupBy("doc_id", "th").agg(F.collect_list(F.struct("h", "pos", "before", "after")).alias("at")), "open-anchors")
+    filtered, shared = _only(keyed, wanted)
     joined = filtered.join(wanted.select(F.col("doc_id").alias("d2"), F.col("th").alias("t2"), "at"), F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("th") == F.col("t2")))
 
     def payload(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        out: list[list] = [[] for _ in range(7)]
-        held = 0
-        for doc, th, text, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist()):
-            data = text.as_buffer().to_pybytes() if text.is_valid else b""
-            for x in places:
-                lo, hi = x["pos"] - x["before"], x["pos"] + x["after"]
-                for column, v in zip(out, (doc, th, x["pos"], x["before"], x["h"], x["hot"], data[lo:hi])):
-                    column.append(v)
-                held += hi - lo
-            if held > 4 << 20:
-                yield pack(out)
-                out, held = [[] for _ in range(7)], 0
-        if out[0]:
-            yield pack(out)
-
-    def pack(out: list[list]) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int16(), pa.int64(), pa.bool_(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], ["doc_id", "th", "pos", "before", "h", "hot", "context"])
-
-    found = map_arrow(joined.select("doc_id", "th", "text", "at"), payload, "doc_id long, th long, pos int, before short, h long, hot boolean, context binary")
-    found = cut(found.dropDuplicates(["h", "doc_id", "th", "pos"]), "open-contexts")
+        raw, offsets = utf8(batch.column(2))
+        row, places = _flat(batch.column(3))
+        pos, before, after, h = (places.field(k).to_numpy() for k in ("pos", "before", "after", "h"))
+        starts, lengths = offsets[row] + pos - before, before.astype(np.int64) + after
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        for i, j in blocks(ends, BLOCK):
+            take = pa.array(row[i:j])
+            data = raw[ranges(starts[i:j], lengths[i:j])]
+            context = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer((ends[i : j + 1] - ends[i]).astype(np.int32)), pa.py_buffer(data)])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(pos[i:j]), pa.array(before[i:j]), pa.array(h[i:j]), context], ["doc_id", "th", "pos", "before", "h", "context"])
+
+    found = map_arrow(joined.select("doc_id", "th", "text", "at"), payload, "doc_id long, th long, pos int, before short, h long, context binary")
+    # of a text that several rows have, one
+    found = found.dropDuplicates(["h", "doc_id", "th", "pos"]).select("doc_id", "th", "pos", "before", "context", F.col("h").alias("key"), F.lit(0).cast("short").alias("lo"), F.lit(size - gram + 1).cast("short").alias("hi"))
+    found = cut(found, "open-contexts")
+    shared.destroy()
+    drop_table(many)
+    drop_table(wanted)
+    used = [rows, contexts, found]
+    parts = [copied]
+    while True:
+        sized = cut(found.groupBy(F.col("key").alias("k2")).agg(F.count("*").alias("k")).where("k > 1"), "group-sizes")
+        used.append(sized)
+        groups = found.join(sized, F.col("key") == F.col("k2")).drop("k2")
+        parts.append(_sorted_groups(groups.where(F.col("k") <= group).drop("k"), size, gram))
+        if sized.where(F.col("k") > group).isEmpty():
+            break
+        halves = cut(_halved(groups.where(F.col("k") > group).drop("k"), size), "halved-groups")
+        same = cut(halves.groupBy(F.col("key").alias("k2"), F.col("whole").alias("w2")).agg(F.count("*").alias("n")).where("n > 1").select("k2", "w2"), "equal-contexts")
+        equal = halves.join(same, (F.col("key") == F.col("k2")) & (F.col("whole") == F.col("w2")))
+        first, last = F.greatest("lo", F.lit(size) - F.col("after")), F.least(F.col("hi") - 1, F.col("before"))
+        parts.append(equal.select("doc_id", "th", (F.col("pos") - last).cast("int").alias("a"), (F.col("pos") - first + size).cast("int").alias("b")))
+        found = cut(halves.dropDuplicates(["key", "whole"]).drop("whole", "after"), "stand-ins")
+        used += [halves, same, found]
+    spans = cut(reduce(DataFrame.unionByName, parts), "spans")
+    for table in used:
+        drop_table(table)
+    return spans
+
+
+HALVES = "doc_id long, th long, pos int, before short, context binary, key long, lo short, hi short, whole long, after short"
+
+
+def _halved(rows: DataFrame, size: int) -> DataFrame:
+    """Contexts twice, for either half of their places: `key` is the digest of the bytes that all strings of those places share,
+    `whole` that of all their bytes that the context has. Contexts without such a string go."""
+
+    def name(*parts: bytes | int) -> int:
+        data = b"".join(p if isinstance(p, bytes) else p.to_bytes(8, "little", signed=True) for p in parts)
+        return int.from_bytes(hashlib.md5(data).digest()[:8], "little", signed=True)
+
+    def halve(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        before, lo, hi, h = (batch.column(k).to_numpy().astype(np.int64).tolist() for k in (3, 6, 7, 5))
+        for upper in (False, True):
+            take: list[int] = []
+            made: list[tuple[int, ...]] = []
+            for k, context in enumerate(batch.column(4)):
+                middle = (lo[k] + hi[k] + 1) // 2
+                a, b = (middle, hi[k]) if upper else (lo[k], middle)
+                data, at = context.as_py(), before[k]
+                if a < b and at >= a and at + size - b + 1 <= len(data):
+                    key = name(h[k], a, b, data[at - a : at + size - b + 1])
+                    left = max(0, at - b + 1)
+                    take.append(k)
+                    made.append((key, a, b, name(at - left, data[left : at + size - a]), len(data) - at))
+            own, columns = batch.take(pa.array(take, pa.int64())), list(zip(*made)) or [()] * 5
+            kinds = (pa.int64(), pa.int16(), pa.int16(), pa.int64(), pa.int16())
+            yield pa.RecordBatch.from_arrays([*own.columns[:5], *(pa.array(c, t) for c, t in zip(columns, kinds))], [*batch.schema.names, "whole", "after"])
+
+    return map_arrow(rows.select("doc_id", "th", "pos", "before", "context", "key", "lo", "hi"), halve, HALVES)
+
+
+def _sorted_groups(rows: DataFrame, size: int, gram: int) -> DataFrame:
+    """Spans of the strings that contexts of one key share, by suffix sort; a group is held in memory."""
+
+    def solve(t: pa.Table) -> pa.RecordBatch:
+        key, pos, before, lo, hi = (t[c].to_numpy().astype(np.int64) for c in ("key", "pos", "before", "lo", "hi"))
+        shared = shared_places(np.unique(key, return_inverse=True)[1], t["context"].to_pylist(), before, size, gram, lo, hi)
+        row, first, last = _runs(shared)
+        take = pa.array(row)
+        return pa.RecordBatch.from_arrays(
+            [t["doc_id"].combine_chunks().take(take), t["th"].combine_chunks().take(take), pa.array((pos[row] - last).astype(np.int32)), pa.array((pos[row] - first + size).astype(np.int32))], ["doc_id", "th", "a", "b"]
+        )
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         held: list[pa.RecordBatch] = []
-
-        def solve(t: pa.Table) -> pa.RecordBatch:
-            h, pos, before = (t[c].to_numpy().astype(np.int64) for c in ("h", "pos", "before"))
-            shared = shared_places(np.unique(h, return_inverse=True)[1], t["context"].to_pylist(), before, size, gram)
-            row, first, last = _runs(shared)
-            take = pa.array(row)
-            return pa.RecordBatch.from_arrays(
-                [t["doc_id"].combine_chunks().take(take), t["th"].combine_chunks().take(take), pa.array((pos[row] - last).astype(np.int32)), pa.array((pos[row] - first + size).astype(np.int32))], ["doc_id", "th", "a", "b"]
-            )
-
         waiting = 0
         for b in batches:
             if not b.num_rows:
@@ -269,61 +333,56 @@ def repeated_spans(docs: DataFrame, size: int = SIZE, gram: int = GRAM, group: i
             waiting += b.num_rows
             if waiting >= BATCH:  # all but the last group is whole
                 t = pa.Table.from_batches(held)
-                h = t["h"].to_numpy()
-                last = int(np.searchsorted(h, h[-1]))
+                key = t["key"].to_numpy()
+                last = int(np.searchsorted(key, key[-1]))
                 if last:
                     yield solve(t.slice(0, last))
-                held, waiting = t.slice(last).to_batches(), len(h) - last
+                    give_back("powers")
+                held, waiting = t.slice(last).to_batches(), len(key) - last
         if held:
             yield solve(pa.Table.from_batches(held))
+        give_back()
 
-    sorted_ = found.where("NOT hot").repartition("h").sortWithinPartitions("h").mapInArrow(sort, SPANS)
-
-    def strings(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for k in range(batch.num_rows):
-            doc, th, pos, before, h, _, context = (batch.column(i)[k].as_py() for i in range(7))
-            first, last = max(0, size - (len(context) - before)), before
-            digests = [int.from_bytes(hashlib.md5(context[before - o : before - o + size]).digest()[:8], "little", signed=True) for o in range(first, last + 1)]
-            m = len(digests)
-            columns = [pa.array([doc] * m, pa.int64()), pa.array([th] * m, pa.int64()), pa.array([pos - o for o in range(first, last + 1)], pa.int32()), pa.array([h] * m, pa.int64()), pa.array(digests, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "th", "a", "h", "s"])
-
-    each = map_arrow(found.where("hot"), strings, "doc_id long, th long, a int, h long, s long")
-    place = F.struct("doc_id", "th", "a")  # one string can hold two anchors of one hash, and is still one
-    repeated = each.groupBy(F.col("h").alias("h2"), F.col("s").alias("s2")).agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("NOT (lo <=> hi)").select("h2", "s2")
-    counted = each.join(repeated, (F.col("h") == F.col("h2")) & (F.col("s") == F.col("s2")), "left_semi").select("doc_id", "th", "a", (F.col("a") + size).cast("int").alias("b"))
-    return copied.unionByName(sorted_).unionByName(counted)
+    bounded(rows.sparkSession)
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(sort, SPANS)
 
 
 def _key() -> Column:
     return F.xxhash64("doc_id", "th")
 
 
-def _only(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows of keyed that may be in wanted, by a bit set over id and text."""
+def _only(keyed: DataFrame, wanted: DataFrame) -> tuple[DataFrame, Broadcast]:
+    """Rows of keyed that may be in wanted, by a bit set over id and text, and the bit set, to be destroyed after them."""
     shared = keyed.sparkSession.sparkContext.broadcast(KeyFilter(wanted.select(_key())))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         return batch.filter(pa.array(shared.value.has(batch.column(3)))).select(["doc_id", "th", "text"])
 
-    return map_arrow(keyed.select("doc_id", "th", "text", _key().alias("key")), run, "doc_id long, th long, text string")
+    return map_arrow(keyed.select("doc_id", "th", "text", _key().alias("key")), run, "doc_id long, th long, text string"), shared
+
+
+def _flat(lists: pa.ListArray) -> tuple[np.ndarray, pa.StructArray]:
+    """The elements of a column of lists, and the row of each."""
+    counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+    return np.repeat(np.arange(len(lists)), counts), lists.flatten()
 
 
-def removed(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:
-    """What is left of data, and the number of maximal removed runs."""
-    kept, at, runs = [], 0, 0
-    for a, b in sorted(spans):
-        if not runs or a > at:
-            kept.append(data[at:a])
-            runs += 1
-        at = max(at, b)
-    return b"".join([*kept, data[at:]]), runs
+def removed(data: bytes, first: np.ndarray, last: np.ndarray) -> tuple[bytes, int]:
+    """What is left of data without the ranges first to last, and the number of maximal removed runs."""
+    if not len(first):
+        return data, 0
+    order = np.argsort(first, kind="stable")
+    a, reach = first[order], np.maximum.accumulate(last[order])
+    new = np.append(True, a[1:] > reach[:-1])
+    begins, ends = a[new].tolist(), reach[np.append(new[1:], True)].tolist()
+    return b"".join([data[i:j] for i, j in zip([0, *ends], [*begins, len(data)])]), len(begins)
 
 
 def digest(docs: DataFrame, size: int = SIZE, gram: int = GRAM, group: int = GROUP) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
-    spans = repeated_spans(docs, size, gram, group).groupBy("doc_id", "th").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
-    spans = cut(spans, "spans")
+    found = repeated_spans(docs, size, gram, group)
+    spans = cut(found.groupBy("doc_id", "th").agg(F.collect_set(F.struct("a", "b")).alias("spans")), "document-spans")
+    drop_table(found)
     shared = docs.sparkSession.sparkContext.broadcast(KeyFilter(spans.select(_key())))
     keyed = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
 
@@ -340,12 +399,15 @@ def digest(docs: DataFrame, size: int = SIZE, gram: int = GRAM, group: int = GRO
 
     def finish(batch: pa.RecordBatch) -> pa.RecordBatch:
         gone, runs, kept = [], [], []
-        for text, whole, own in zip(batch.column(1), batch.column(3).to_pylist(), batch.column(4)):
+        row, spans = _flat(batch.column(4))
+        first, last = spans.field("a").to_numpy(), spans.field("b").to_numpy()
+        at = np.searchsorted(row, np.arange(batch.num_rows + 1)).tolist()
+        for k, (text, whole) in enumerate(zip(batch.column(1), batch.column(3).to_pylist())):
             if whole is not None:
                 gone.append(0), runs.append(0), kept.append(whole)
                 continue
             data = text.as_buffer().to_pybytes() if text.is_valid else b""
-            left, n = removed(data, [(x["a"], x["b"]) for x in own.as_py() or []])
+            left, n = removed(data, first[at[k] : at[k + 1]], last[at[k] : at[k + 1]])
             gone.append(len(data) - len(left)), runs.append(n), kept.append(hashlib.sha256(left).hexdigest())
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 

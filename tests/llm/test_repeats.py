@@ -39,7 +39,7 @@ def test_query(spark):
     assert sorted((tuple(r) for r in registry.op7_repeats(spark, f"{DATA}/sf0.001").collect()), key=str) == want and sum(w[2] for w in want) > 0
 
 
-@pytest.mark.parametrize("group", [0, 20_000])
+@pytest.mark.parametrize("group", [0, 3, 20_000])
 def test_small_strings(spark, group):
     rng = np.random.default_rng(11)
     words = ["".join(rng.choice(list("abcé"), 6)) for _ in range(40)]
@@ -58,12 +58,23 @@ def test_small_strings(spark, group):
 
 
 def test_odd_rows(spark, odd, empty):
-    rows = encoded([(r[0], r[1]) for r in ODD if len(r[1] or "") < 5000])
-    small = odd.where("doc_id <> 5 OR doc_id IS NULL")
-    assert run(small) == brute(rows, 400) and run(empty) == []
-    long = run(odd.where("doc_id = 5"))
-    text = [r[1] for r in ODD if r[0] == 5][0].encode()
-    assert long == [(5, len(text), 180000, 2, hashlib.sha256(text[60000:-120000]).hexdigest())] or long[0][1] == len(text)
+    rows = encoded([(r[0], r[1]) for r in ODD])
+    want = brute(rows, 400)
+    long = next(w for w in want if w[0] == 5)
+    assert run(odd) == want and run(empty) == [] and long[1] - long[2] == len(" token = abcdefgh")
+
+
+def test_one_anchor_in_very_many_contexts(spark):
+    """20,000 contexts of one passage, in groups of 500 at most: halves of halves, down to single places."""
+    rng = np.random.default_rng(4)
+    core = "".join(rng.choice(list("abcdefgh"), 20))
+    side = ["".join(rng.choice(list("xyz"), 6)) for _ in range(60)]
+    few = ["".join(rng.choice(list("xyz"), 11)) for _ in range(9)]
+    rows = [(i, "".join([str(i), "-", *rng.choice(side, 2), rng.choice(few), core, rng.choice(few), *rng.choice(side, 2), "-", str(i)])) for i in range(20_000)]
+    rows += [(20_000 + i, core * 3) for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    want = brute(encoded(rows), 40)
+    assert run(df, size=40, gram=20, group=500) == want and sum(w[2] > 0 for w in want) > 1000
 
 
 def test_sort_is_a_suffix_sort():
