@@ -88,9 +88,10 @@ def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBat
 
 
 def bounded(spark: SparkSession) -> None:
-    """Hold Arrow batches of the session to BATCH_BYTES."""
+    """Hold Arrow batches of the session to BATCH_BYTES, or to less if the session says so."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    spark.conf.set(name, min(BATCH_BYTES, int(spark.conf.get(name).rstrip("b")) or BATCH_BYTES))
+    now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
+    spark.conf.set(name, str(min(BATCH_BYTES, now) if now > 0 else BATCH_BYTES))
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

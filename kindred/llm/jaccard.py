@@ -466,7 +466,8 @@ def node_roots(docs: DataFrame, own: DataFrame, params: JoinParams) -> DataFrame
 def near_duplicates(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest id of the component) of every row."""
     group = grouped(docs, params)
-    least = group.where("node <> 0").groupBy(F.col("root").alias("r")).agg(F.min("doc_id").alias("least"))
+    # a table, so that a component of very many rows can be split where it is joined
+    least = cut(group.where("node <> 0").groupBy(F.col("root").alias("r")).agg(F.min("doc_id").alias("least")), "least")
     joined = group.join(least, (F.col("root") == F.col("r")) & (F.col("node") != 0), "left")
     return joined.select("doc_id", "n_shingles", F.when(F.col("node") == 0, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
