@@ -5,7 +5,8 @@ such data (numbers of seven digits or more with separators, words with an @) bec
 document: neighbours in order are linked, and so are distant tokens that repeat or resemble each other (equal
 digits, equal last seven digits, equal network part, equal mailbox). Loopy message passing makes labels agree along these
 links: a number that is written as a valid phone number once and without its prefix later is found both times. A
-token is added when its posterior is high and it has a skip link; base matches always stay.
+token is added when its posterior is high and it has a skip link, or would be a base match if it stood alone; base matches
+always stay. Numbers that stand side by side, which a base pattern takes for one too long, are tokens of their own.
 
 Texts without a base match are judged in the same way: linked look-alikes are found where their cues and form alone
 make the posterior high.
@@ -15,7 +16,9 @@ documents, labelled by the base patterns (`train_docs` documents of least hash).
 
 Cases: null text is empty and has no spans; spans are code points, end exclusive; without spans the results are empty
 strings. Without training rows weights are flat. Links join consecutive occurrences, so a token repeated n times has n - 1
-links. Repeated rows give repeated results; other columns are ignored; an empty table gives an empty result.
+links. Ties: of equal posteriors the kind listed first wins, and tokens of equal keys link in order of position. Very long
+texts are judged whole, at a cost in proportion to their length. Repeated rows give repeated results; other columns are ignored; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -44,9 +47,13 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 NOT_DIGIT = re.compile(r"[^0-9]")
+WORD = re.compile(r"[^ ]+")
 # What looks like data.
 NUMBER = re.compile(r"\+?\(?[0-9][ ().0-9-]{5,}[0-9]")
-AT_WORD = re.compile(r"[^\s@<>\"'(),;]{1,64}(?:@|\(at\)|\[at\])[^\s@<>\"'(),;]{1,128}")
+AT = re.compile(r"@|\(at\)|\[at\]")
+AT_STOP = re.compile(r"[\s@<>\"'(),;\]]")
+AT_REST = re.compile(r"[^\s@<>\"'(),;]+")
+LONGEST = 19  # digits of a number that can be one of the kinds
 CUES = (
     ("phone", re.compile(r"(?i)(?:tel|phone|fon|call|mobil|handy|móvil|tél)[^\n]{0,12}$")),
     ("card", re.compile(r"(?i)(?:card|visa|karte|carte|tarjeta)[^\n]{0,12}$")),
@@ -114,6 +121,24 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out)
 
 
+def _digits(s: str) -> int:
+    return len(NOT_DIGIT.sub("", s))
+
+
+def _at_words(text: str) -> list[tuple[int, int]]:
+    """Words around an @ or its spelt forms; each grows left to the end of the last one at most, so the cost is linear."""
+    out, done = [], 0
+    for m in AT.finditer(text):
+        a = m.start()
+        while a > done and not AT_STOP.match(text, a - 1):
+            a -= 1
+        rest = AT_REST.match(text, m.end())
+        if a < m.start() and rest:
+            out.append((a, rest.end()))
+        done = m.end()
+    return out
+
+
 def candidates(text: str, base: list[Span]) -> list[tuple[int, int, int]]:
     """(start, end, label) of what looks like data, with the label of an overlapping base match, by start.
 
@@ -122,9 +147,11 @@ def candidates(text: str, base: list[Span]) -> list[tuple[int, int, int]]:
     found = [(s, e, k) for s, k, e in base]
     looks = []
     if DIGIT.search(text):
-        looks += [(m.start(), m.end()) for m in NUMBER.finditer(text) if sum(c.isdigit() for c in m[0]) >= 7]
-    if "@" in text or "(at)" in text or "[at]" in text:
-        looks += [(m.start(), m.end()) for m in AT_WORD.finditer(text)]
+        for m in NUMBER.finditer(text):
+            # what is too long for one number is several that stand side by side
+            parts = [(m.start(), m.end())] if _digits(m[0]) <= LONGEST else [(m.start() + p.start(), m.start() + p.end()) for p in WORD.finditer(m[0])]
+            looks += [(a, b) for a, b in parts if _digits(text[a:b]) >= 7]
+    looks += _at_words(text)
     ends, i, taken = sorted(found), 0, -1
     for s, e in sorted(looks):
         while i < len(ends) and ends[i][1] <= s:
@@ -139,7 +166,8 @@ def features(text: str, start: int, end: int) -> list[str]:
     s = text[start:end]
     digits = NOT_DIGIT.sub("", s)
     cue = next((name for name, p in CUES if p.search(text, max(0, start - 24), start)), "none")
-    return [f"n{min(len(digits), 20)}", f"plus{s[0] == '+'}", f"par{'(' in s}", f"dot{min(s.count('.'), 4)}", f"at{'@' in s or 'at' in s}", f"sep{' ' in s}{'-' in s}", f"cue_{cue}"]
+    inside = (start > 0 and text[start - 1].isalnum()) or (end < len(text) and text[end].isalnum())
+    return [f"luhn{12 <= len(digits) <= LONGEST and luhn(digits)}", f"inside{inside}", f"n{min(len(digits), 20)}", f"plus{s[0] == '+'}", f"par{'(' in s}", f"dot{min(s.count('.'), 4)}", f"at{'@' in s or 'at' in s}", f"sep{' ' in s}{'-' in s}", f"cue_{cue}"]
 
 
 def keys(text: str, start: int, end: int) -> list[str]:
@@ -167,11 +195,16 @@ def links(text: str, tokens: list[tuple[int, int, int]]) -> list[tuple[int, int]
     return list(out)
 
 
+def _alone(text: str, start: int, end: int) -> int:
+    """The kind of the base match that a token would be if it stood alone."""
+    return next((k for s, k, e in base_spans(text[start:end]) if (s, e) == (0, end - start)), OTHER)
+
+
 def counts(texts: list[str]) -> dict[str, int]:
     """What training needs of some documents."""
     out: dict[str, int] = defaultdict(int)
     for t in texts:
-        tokens = candidates(t, base_spans(t))
+        tokens = [(s, e, _alone(t, s, e) if k == OTHER else k) for s, e, k in candidates(t, base_spans(t))]
         for i, (s, e, k) in enumerate(tokens):
             out[f"L:{k}"] += 1
             for f in features(t, s, e):
@@ -202,7 +235,7 @@ def train(docs: DataFrame, params: PiiParams = PiiParams()) -> PiiModel:
     after = [[sums.get(f"T:{a}:{b}", 0) + 1 for b in labels] for a in labels]
     chain = tuple(tuple(math.log(n / sum(row)) - prior[b] for b, n in enumerate(row)) for row in after)
     agree = math.log((sums.get("S:1", 0) + 1) / (sums.get("S:0", 0) + 1))
-    return PiiModel(prior, feats, tuple(tuple(max(-2.0, min(2.0, x)) for x in row) for row in chain), max(2.0, min(8.0, agree)))
+    return PiiModel(prior, feats, chain, agree)
 
 
 def infer(model: PiiModel, text: str, tokens: list[tuple[int, int, int]], skips: list[tuple[int, int]], params: PiiParams = PiiParams()) -> np.ndarray:
@@ -252,11 +285,9 @@ def find(text: str, model: PiiModel, params: PiiParams = PiiParams()) -> tuple[l
         return base, []
     skips = links(text, tokens)
     linked = {i for pair in skips for i in pair}
-    if not any(tokens[i][2] == OTHER for i in linked):
-        return base, []
     p = infer(model, text, tokens, skips, params)
     label = p.argmax(1)
-    added = [(s, int(label[i]), e) for i, (s, e, k) in enumerate(tokens) if k == OTHER and i in linked and label[i] != OTHER and p[i, label[i]] >= params.least]
+    added = [(s, int(label[i]), e) for i, (s, e, k) in enumerate(tokens) if k == OTHER and label[i] != OTHER and p[i, label[i]] >= params.least and (i in linked or _alone(text, s, e) == label[i])]
     return base, added
 
 
@@ -277,19 +308,21 @@ def redact(text: str, spans: list[Span]) -> str:
 
 
 def digest(docs: DataFrame, model: PiiModel, params: PiiParams = PiiParams()) -> DataFrame:
+    """Per row: base matches by kind and their digest, all spans and their number."""
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for at in range(0, batch.num_rows, 1000):
-            rows: list[list] = [[] for _ in range(6)]
+            rows: list[list] = [[] for _ in range(7)]
             for t in batch.column(1).slice(at, 1000).to_pylist():
                 base, added = find(t or "", model, params)
                 for k in range(4):
                     rows[k].append(sum(s[1] == k for s in base))
                 rows[4].append(hashlib.sha256(joined(base).encode()).hexdigest())
                 rows[5].append(joined(base + added))
-            types = [pa.int64()] * 4 + [pa.string()] * 2
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 1000), *(pa.array(r, t) for r, t in zip(rows, types))], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
+                rows[6].append(len(base) + len(added))
+            types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 1000), *(pa.array(r, t) for r, t in zip(rows, types))], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans"])
 
-    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long")
 
 
 def redacted(docs: DataFrame, model: PiiModel, params: PiiParams = PiiParams()) -> DataFrame:
