@@ -138,14 +138,13 @@ def _sketch(docs: DataFrame, params: JoinParams) -> np.ndarray:
 
     rows = docs.select("text", F.spark_partition_id().alias("part"))
     parts = rows.rdd.getNumPartitions()
-    sums = tasks = cut(rows.mapInArrow(count, kind), "sketch")
+    sums = rows.mapInArrow(count, kind)
     while parts > 1:
         sums = sums.groupBy("slice", F.floor(F.col("part") / FAN_IN).alias("g")).applyInArrow(add, kind)
         parts = -(-parts // FAN_IN)
     cells = np.zeros(size, np.int64)
     for r in sums.collect():  # a row for each slice: one job, and 32 MB at most for cells of eight bytes
         cells[r.slice * width : (r.slice + 1) * width] += np.frombuffer(zlib.decompress(r.cells), np.int64)
-    drop_table(tasks)
     mean = max(1.0, float(cells.mean()))
     return np.floor(np.log2(np.maximum(cells / mean, 1.0)) * 2).astype(np.uint8)
 
@@ -318,8 +317,11 @@ def _likely(own: DataFrame, pairs: DataFrame, params: JoinParams) -> DataFrame:
 
     held: list[Broadcast] = []
     named = pairs.select("a").union(pairs.select("b"))
-    counts = _among(own.select("node", "counts"), "node", named, params, held).groupBy("node").agg(F.any_value("counts").alias("counts"))
-    return _settled(map_arrow(_with_both(pairs, counts, "counts"), likely, "a long, b long"), "likely", held)
+    # a table, as sets are, so that a leader of very many pairs can be split where it is joined
+    counts = _settled(_among(own.select("node", "counts"), "node", named, params, held).groupBy("node").agg(F.any_value("counts").alias("counts")), "counts", held)
+    out = cut(map_arrow(_with_both(pairs, counts, "counts"), likely, "a long, b long"), "likely")
+    drop_table(counts)
+    return out
 
 
 def _verified(docs: DataFrame, own: DataFrame, pairs: DataFrame, roots: DataFrame | None, params: JoinParams) -> DataFrame:
