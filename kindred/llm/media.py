@@ -2,12 +2,12 @@
 
 A text's UTF-8 bytes, padded with spaces to a positive multiple of 192, are the samples of an 8-bit mono
 WAV file. write() stores the files in a table in the shared folder; read() opens the stored files with the
-wave module, and digests and features come from what was read: a short-time Fourier transform of 192-sample frames, the strongest local peaks of each frame, and a hash of
-each peak with the peaks that follow it, kept as arrays of times and hashes.
+wave module, and digests and features come from what was read: a short-time Fourier transform of 192-sample frames, the strongest
+local peaks of each frame, and a hash of each peak with the peaks that follow it, kept as arrays of times and hashes.
 
 Cases: null and empty text give one frame of spaces, which has no peaks and an empty fingerprint. Equal
 texts give equal values: magnitudes are quantised before they are compared and ties go to the lower bin.
-Repeated rows give repeated results; an empty table gives an empty result; other columns are ignored.
+Very long texts are one file each, in memory as a whole. Repeated rows give repeated results; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

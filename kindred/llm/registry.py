@@ -26,7 +26,7 @@ def op2_packing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op3_media(spark: SparkSession, sf: str) -> DataFrame:
-    return media.read(media.write(documents(spark, sf))).drop("media", "peak_times", "peak_hashes")
+    return media.read(media.write(documents(spark, sf))).drop("media")
 
 
 def op4_secrets(spark: SparkSession, sf: str) -> DataFrame:

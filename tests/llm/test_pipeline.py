@@ -1,7 +1,10 @@
 """The pipeline against a plain version, stage by stage, on a small table."""
 
 import re
+import subprocess
+import sys
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -53,6 +56,29 @@ def test_deduplication_of_odd_rows(spark, odd, empty):
     assert jaccard.one_of_each(odd).columns == odd.columns and jaccard.one_of_each(empty).count() == 0
 
 
+def test_one_of_each_does_not_depend_on_the_plan(spark):
+    from kindred.llm import jaccard
+
+    rows = [(7, "one text of some few words", f"s{k}") for k in range(6)] + [(8, "one text of some few words", "a"), (9, "other words that stand alone here", None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("tags", F.create_map(F.lit("k"), F.col("source")))
+    for parts in (1, 3, 7):
+        got = sorted((r.doc_id, r.source) for r in jaccard.one_of_each(frame.repartition(parts, F.xxhash64("source", F.lit(parts)))).collect())
+        assert got == [(7, "s0"), (9, None)]
+
+
+def test_run_on_odd_and_empty_tables(spark, odd, empty, tmp_path):
+    for name, frame in (("odd", odd), ("empty", empty)):
+        frame.write.parquet(str(tmp_path / name / "documents.parquet"))
+        got = corpus_pipeline.run(spark, str(tmp_path / name)).collect()
+        docs, texts = documents(spark, str(tmp_path / name)), {}
+        for stage, f in corpus_pipeline.STAGES[:-1]:
+            docs = cut(f(spark, docs, str(tmp_path / name)), stage)
+            assert docs.columns == odd.columns
+        texts = [(r.doc_id, r.text) for r in docs.collect()]
+        check_packing(got, texts)
+        assert len(texts) >= 3 if name == "odd" else not texts
+
+
 def test_language_stage_without_labels(spark, odd):
     stage, docs = dict(corpus_pipeline.STAGES)["language"], documents(spark, SF)
     extra = spark.createDataFrame([(9001, "12 -- 34", "en", "src1", 8), (9002, None, None, None, None)], docs.schema)
@@ -88,3 +114,17 @@ def test_language_stage_of_poor_models(spark):
         rows = [(i, words, "en" if i < 3 else None) for i in range(20)] + [(100 + i, russian, lang if i < 3 else None) for i in range(20)]
         docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
         assert dict(corpus_pipeline.STAGES)["language"](spark, docs, SF).count() == 40
+
+
+def test_a_broken_dependency_is_not_hidden():
+    """The entry module goes without the operators only where they are taken out, not where something that they need is missing."""
+    code = (
+        "import sys\n"
+        "class Gone:\n"
+        "    def find_spec(self, name, path=None, target=None):\n"
+        "        if name == 'regex': raise ModuleNotFoundError(name, name=name)\n"
+        "sys.meta_path.insert(0, Gone())\n"
+        "import __spark_entry__\n"
+    )
+    got = subprocess.run([sys.executable, "-c", code], cwd=Path(corpus_pipeline.__file__).parent, capture_output=True, text=True)
+    assert got.returncode != 0 and "ModuleNotFoundError: regex" in got.stderr
