@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kindred.llm.common import SPACE_PATTERN
+from kindred.llm.common import SPACE_PATTERN, cut
 
 WEIGHTS = (5, 2, 1)
 SHARE, CAP = 1.5, 2.0
@@ -62,8 +62,12 @@ def copies(rate: Column, doc_id: Column) -> Column:
 
 
 def mix(sized: DataFrame) -> DataFrame:
-    """sized (doc_id, source, size, ...) with source_size, target, rate and copies."""
-    t = targets(sized).select(F.col("source").alias("_s"), "source_size", "target", "rate")
+    """sized (doc_id, source, size, ...) with source_size, target, rate and copies.
+
+    The targets are a table, so that Spark sees its size before it plans: a small one is sent to the rows, which then aren't
+    shuffled by their source; a large one is joined, and Spark splits a hot source.
+    """
+    t = cut(targets(sized), "targets").select(F.col("source").alias("_s"), "source_size", "target", "rate")
     joined = sized.join(t, sized["source"].eqNullSafe(t["_s"])).drop("_s")
     return joined.withColumn("copies", copies(F.col("rate"), F.col("doc_id")))
 
