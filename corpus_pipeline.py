@@ -24,7 +24,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from kindred.llm import jaccard, language, mixing, packing, pii
 from kindred.llm.common import cut, documents, drop_table
