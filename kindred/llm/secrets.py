@@ -1,10 +1,10 @@
 """Operator 4, secret scans with multipart credential linking. DataFrame functions only.
 
 Base kinds (assign, access, hex) are regular expressions whose matches must pass a length check. The
-linker adds parts of credentials that are too weak alone: an identifier (an access key of another family or
-an assigned user or client id), a secret (a mixed run of 32 or more base64 characters) and an endpoint (a URL
-or a cloud host). A weak part is reported only when a complementary part, or a base match that can stand
-for one, starts within `scope` characters of it in the same text.
+linker adds parts of credentials that are too weak alone: an identifier (an access key of another family, one of 12 to 19
+characters, or an assigned user or client id), a secret (a mixed run of 32 or more base64 characters, 16 to 23 hex digits, an assigned
+value of 3 to 5 characters) and an endpoint (a URL or a cloud host). A weak part is reported only when a complementary part,
+or a base match that can stand for one, starts within `scope` characters of it in the same text.
 
 The link is an interval join made of equi-joins: parts fall into bins of `scope` characters; each bin gets the
 extremes of the partners in it and in its neighbours, which decide for every part of the bin whether a
@@ -12,8 +12,9 @@ partner is near. No pairs are made, so a text with many parts, or many rows of o
 proportion. Only texts with a candidate are taken apart.
 
 Cases: null text is empty and has no spans; spans are code points, end exclusive; empty results are empty
-strings. Rows that repeat id and text share one result; null ids are ids of their own. Other columns are
-ignored. An empty table gives an empty result.
+strings. Ties: parts that start together are all parts, in the order of their kinds. Very long texts are scanned whole. Rows
+that repeat id and text share one result; null ids are ids of their own. Other columns are ignored. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -30,11 +31,13 @@ ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 BASE = ("assign", "access", "hex")
-# Weak parts.
-IDENTIFIER = r"""\b(?:ASIA|AROA|AIDA|AGPA|ABIA)[A-Z0-9]{12,}|\b(?i:client_?id|access_?id|user_?name|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}"""
+NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
+# Weak parts: look-alikes of base matches that are too short among them.
+IDENTIFIER = r"""AKIA[A-Z0-9]{8,15}(?![A-Z0-9])|\b(?:ASIA|AROA|AIDA|AGPA|ABIA)[A-Z0-9]{12,}|\b(?i:client_?id|access_?id|user_?name|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}"""
 # A match starts where a run does; the first digit, capital and small letter may stand anywhere in the run.
-SECRET = r"(?<![A-Za-z0-9+/])(?=[A-Za-z+/]*[0-9])(?=[a-z0-9+/]*[A-Z])(?=[A-Z0-9+/]*[a-z])[A-Za-z0-9+/]{32,}={0,2}"
-ENDPOINT = r"""\b[a-z][a-z0-9+.-]{1,15}://[^\s"'<>]+|\b[a-z0-9.-]{1,60}\.(?:amazonaws|azure|googleapis|cloudflarestorage)\.com\b"""
+SECRET = r"(?<![A-Za-z0-9+/])(?=[A-Za-z+/]*[0-9])(?=[a-z0-9+/]*[A-Z])(?=[A-Z0-9+/]*[a-z])[A-Za-z0-9+/]{32,}={0,2}|(?<![0-9a-f])[0-9a-f]{16,23}(?![0-9a-f])"
+SECRET += r"""|(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{3,5}(?![A-Za-z0-9+/_.=-])"""
+ENDPOINT = r"""(?<![a-z0-9+.-])[a-z0-9+.-]+://[^\s"'<>]+|(?<![a-z0-9.-])[a-z0-9.-]+\.(?:amazonaws|azure|googleapis|cloudflarestorage)\.com\b"""
 WEAK = ("identifier", "secret", "endpoint")
 KINDS = BASE + WEAK
 #: What each weak kind needs nearby.
@@ -98,7 +101,7 @@ def base_spans(text: Column, low: Column) -> Column:
     """low: the text in lower case, for the guards."""
     # a run of hex digits or capitals that is too short fails whole, so these guards ask for the full length
     parts = [
-        spans(text, ASSIGN, 0, 6, 2, _any(low, ("password", "passwd", "secret", "token", "apikey", "api_key"))),
+        spans(text, ASSIGN, 0, 6, 2, _any(low, NAMES)),
         spans(text, ACCESS, 1, 20, 0, F.contains(text, F.lit("AKIA"))),
         spans(text, HEX, 2, 24, 0, F.regexp_like(text, F.lit("(?<![0-9a-f])[0-9a-f]{24}"))),
     ]
@@ -107,8 +110,8 @@ def base_spans(text: Column, low: Column) -> Column:
 
 def weak_spans(text: Column, low: Column) -> Column:
     guards = (
-        _any(text, ("ASIA", "AROA", "AIDA", "AGPA", "ABIA")) | (_any(text, ("=", ":")) & _any(low, ("client", "access", "user", "login"))),
-        F.regexp_like(text, F.lit("(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{32}")),
+        _any(text, ("AKIA", "ASIA", "AROA", "AIDA", "AGPA", "ABIA")) | (_any(text, ("=", ":")) & _any(low, ("client", "access", "user", "login"))),
+        F.regexp_like(text, F.lit("(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{32}|(?<![0-9a-f])[0-9a-f]{16}")) | (_any(text, ("=", ":")) & _any(low, NAMES)),
         F.contains(text, F.lit("://")) | _any(text, (".amazonaws.com", ".azure.com", ".googleapis.com", ".cloudflarestorage.com")),
     )
     parts = [spans(text, p, 3 + k, 1, 0, g) for k, (p, g) in enumerate(zip((IDENTIFIER, SECRET, ENDPOINT), guards))]
@@ -158,8 +161,11 @@ def find(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     rows = cut(rows, "secret-spans")  # spans only; both branches below read it in place of the texts
     parts = rows.where(F.col("key").isNotNull()).select("key", F.explode(F.concat("weak", "base")).alias("s")).select("key", "s.*").distinct()
     added = linked(parts, scope).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("added"))
-    joined = rows.join(added.withColumnRenamed("key", "key2"), F.col("key") == F.col("key2"), "left")
-    return joined.select("doc_id", "base", F.coalesce("added", F.array().cast(SPAN)).alias("added"))
+    nothing = F.array().cast(SPAN)
+    linkable = rows.where(F.col("key").isNotNull()).join(added.withColumnRenamed("key", "key2"), F.col("key") == F.col("key2"), "left")
+    # most rows have nothing to link: they aren't joined, or they would meet in one task
+    alone = rows.where(F.col("key").isNull()).select("doc_id", "base", nothing.alias("added"))
+    return linkable.select("doc_id", "base", F.coalesce("added", nothing).alias("added")).unionByName(alone)
 
 
 def digest(found: DataFrame) -> DataFrame:
