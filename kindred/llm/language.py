@@ -8,7 +8,8 @@ popcounts over its trigrams, corrected for that filter's measured false-positive
 Cases: null text, or text without a letter: 'und', score 0. No labelled rows: 'und' for all. Letters but
 no trigram known: the most frequent learned language, score 0. Ties go to the language with more training
 rows, then by name. Repeated rows give repeated results; extra columns are ignored; an empty table gives
-an empty result. Texts are used whole, in any length.
+an empty result. Texts are used whole, in any length. A language's filter holds its `grams` most frequent trigrams, a bound on
+the model and not on texts.
 """
 
 from __future__ import annotations
@@ -92,8 +93,12 @@ def train(labelled: DataFrame, params: LanguageParams = LanguageParams()) -> Lan
     languages = tuple(r.l for r in top)
     if not languages:
         return LanguageModel((), b"", (), params.bits, params.hashes)
-    order = Window.partitionBy("l").orderBy(F.xxhash64("d"), "d")
-    ids = known.select("d", "l").withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= params.train_docs).select("d", "l").distinct()
+    # the least hashes of sixteenths of the ids first, so that a task of the second step sees a bounded number of rows
+    ids = known.select("d", "l", F.pmod(F.xxhash64("d", F.lit(1)), F.lit(16)).alias("part"))
+    for own in (("l", "part"), ("l",)):
+        order = Window.partitionBy(*own).orderBy(F.xxhash64("d"), "d")
+        ids = ids.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= params.train_docs).drop("rn")
+    ids = ids.select("d", "l").distinct()
     few = len(languages) * params.train_docs <= 1 << 18  # ids
     chosen = known.join(F.broadcast(ids) if few else ids, ["d", "l"], "left_semi")
     number = {lang: i for i, lang in enumerate(languages)}
