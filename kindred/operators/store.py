@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kindred.errors import MSG_STORE_CONFLICT, EngineError
 from kindred.functions import text as tx
@@ -14,6 +17,10 @@ from kindred.operators.ranking import running_start
 from kindred.schemas import SAMPLE_STORE
 
 
+#: How often a writer takes up a batch again that others came before.
+TRIES = 50
+
+
 def active_samples(store: DataFrame, model_version: str, dimension: int) -> DataFrame:
     """Enabled samples of one model and dimension. Filters reach the scan."""
     return store.where((F.col("model_version") == model_version) & (F.col("vector_dim") == dimension) & (F.col("enabled") == 1))
@@ -83,18 +90,23 @@ def import_summary(compared: DataFrame) -> DataFrame:
 
 
 class SampleStore:
-    """Samples as versions of a Parquet folder; a version counts once its marker exists.
+    """Samples as versions of a Parquet folder. A version is a marker, v<number>.done, which names its data folder and the next free id.
 
-    A batch is written to a new version folder and published by one atomic rename of its marker, so a
-    failed write leaves no rows. One writer at a time; hashes are checked again just before publishing,
-    disabled samples included.
+    A batch is written to a folder of its own and published by creating the marker of the next number, which only one writer can: on
+    local disks by a hard link, elsewhere by a rename that doesn't replace. A writer that comes second looks at the winner's rows: hashes
+    are checked again, disabled samples included, and ids that are taken meanwhile are moved up. So no hash and no id is published
+    twice, and a batch that fails leaves no rows and no folder.
+
+    Data is laid out by buckets of the hash, a folder each. holding() reads those of some hashes only, so an import's comparison and its last
+    check read as many buckets as the batch has, whatever the store holds; compact() joins the files of many versions.
     """
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 256):
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._fs, self._known = fs, {}
 
     def create(self) -> None:
         self._fs.mkdirs(self._path(self.root))
@@ -108,29 +120,126 @@ class SampleStore:
         names = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.root))]
         return sorted(n[: -len(".done")] for n in names if n.endswith(".done"))
 
-    def read(self) -> DataFrame:
-        paths = [f"{self.root}/{v}" for v in self.versions()]
+    def marker(self, version: str) -> dict:
+        """What a version says: folder, rows, next_id, and, where it replaces all before it, compacted. Markers never change."""
+        if version not in self._known:
+            stream = self._fs.open(self._path(f"{self.root}/{version}.done"))
+            try:
+                text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            finally:
+                stream.close()
+            self._known[version] = json.loads(text)
+        return self._known[version]
+
+    def live(self) -> list[str]:
+        """The versions that hold the rows: the last compacted one, if any, and those after it."""
+        names = self.versions()
+        compacted = [k for k, v in enumerate(names) if self.marker(v).get("compacted")]
+        return names[compacted[-1] :] if compacted else names
+
+    def read(self, versions: list[str] | None = None) -> DataFrame:
+        return self._stored(versions).select(*SAMPLE_STORE.names)
+
+    def holding(self, hashes: DataFrame) -> DataFrame:
+        """The samples in the buckets of the hashes (one column text_hash). The buckets, a bounded number, come to the driver, so that
+        the scan leaves out the folders of others."""
+        buckets = [r[0] for r in hashes.select(self._bucket()).distinct().collect()]
+        return self._stored().where(F.col("bucket").isin(buckets)).select(*SAMPLE_STORE.names)
+
+    def _bucket(self) -> Column:
+        return (F.conv(F.substring(F.sha2("text_hash", 256), 1, 8), 16, 10).cast("long") % self.buckets).cast("int").alias("bucket")
+
+    def _stored(self, versions: list[str] | None = None) -> DataFrame:
+        paths = [f"{self.root}/{self.marker(v)['folder']}" for v in (self.live() if versions is None else versions)]
+        schema = T.StructType([*SAMPLE_STORE.fields, T.StructField("bucket", T.IntegerType())])
         if not paths:
-            return self.spark.createDataFrame([], SAMPLE_STORE)
-        return self.spark.read.schema(SAMPLE_STORE).parquet(*paths)
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("basePath", self.root).parquet(*paths)
 
     def next_id(self) -> int:
-        top = self.read().agg(F.max("sample_id")).first()[0]
-        return (top or 0) + 1
+        """The first id that no published sample has; the newest marker knows it."""
+        names = self.versions()
+        return self.marker(names[-1])["next_id"] if names else 1
 
     def insert_all(self, rows: DataFrame) -> int:
-        version = f"v{len(self.versions()):08d}-{uuid.uuid4().hex[:8]}"
-        target = f"{self.root}/{version}"
+        """Publish the rows, all or none. Ids below the next free one are moved up together."""
+        folder = self._write(rows)
         try:
-            rows.write.parquet(target)
-            written = self.spark.read.schema(SAMPLE_STORE).parquet(target)
-            n, distinct = written.agg(F.count("*"), F.count_distinct("text_hash")).first()
-            if n != distinct or not written.join(self.read().select("text_hash"), "text_hash", "left_semi").isEmpty():
-                raise EngineError("text_hash is not unique", 500)
-            self._fs.create(self._path(f"{self.root}/{version}.tmp")).close()
-            if not self._fs.rename(self._path(f"{self.root}/{version}.tmp"), self._path(f"{self.root}/{version}.done")):
-                raise EngineError("the batch could not be published", 500)
-            return n
+            for _ in range(TRIES):
+                names, written = self.versions(), self._data(folder)
+                n, distinct, first, last = written.agg(F.count("*"), F.count_distinct("text_hash"), F.min("sample_id"), F.max("sample_id")).first()
+                if not n:
+                    self._delete(folder)
+                    return 0
+                if n != distinct or not written.join(self.holding(written).select("text_hash"), "text_hash", "left_semi").isEmpty():
+                    raise EngineError("text_hash is not unique", 500)
+                free = self.marker(names[-1])["next_id"] if names else 1
+                if first < free:
+                    old, folder = folder, self._write(written.withColumn("sample_id", F.col("sample_id") + (free - first)))
+                    self._delete(old)
+                    last += free - first
+                if self._publish(len(names), {"folder": folder, "rows": n, "next_id": last + 1}):
+                    return n
+            raise EngineError("the batch could not be published: too many other writers", 500)
         except BaseException:  # whatever it was, no folder stays
-            self._fs.delete(self._path(target), True)
+            self._delete(folder)
+            raise
+
+    def compact(self) -> None:
+        """Publish all rows as one version, with one file a bucket. Folders of the versions before stay for those who read them, until vacuum()."""
+        names = self.versions()
+        if len(self.live()) < 2:
+            return
+        folder = self._write(self.read())
+        try:
+            n = sum(self.marker(v)["rows"] for v in self.live())
+            if not self._publish(len(names), {"folder": folder, "rows": n, "next_id": self.next_id(), "compacted": True}):
+                raise EngineError("the store changed while it was compacted", 500)
+        except BaseException:
+            self._delete(folder)
             raise
+
+    def vacuum(self) -> None:
+        """Delete the folders that compacted versions have replaced; frames that still read them fail."""
+        live = {self.marker(v)["folder"] for v in self.live()}
+        for v in self.versions():
+            if self.marker(v)["folder"] not in live:
+                self._delete(self.marker(v)["folder"])
+
+    def _data(self, folder: str) -> DataFrame:
+        return self.spark.read.schema(SAMPLE_STORE).parquet(f"{self.root}/{folder}")
+
+    def _write(self, rows: DataFrame) -> str:
+        folder = f"values=n{uuid.uuid4().hex}"
+        columns = [f.name for f in SAMPLE_STORE.fields]
+        try:
+            # one file a bucket, dealt by it
+            dealt = rows.select(*columns, self._bucket()).repartition("bucket")
+            dealt.write.partitionBy("bucket").parquet(f"{self.root}/{folder}")
+        except BaseException:
+            self._delete(folder)
+            raise
+        return folder
+
+    def _delete(self, folder: str) -> None:
+        self._fs.delete(self._path(f"{self.root}/{folder}"), True)
+
+    def _publish(self, number: int, marker: dict) -> bool:
+        """Create the marker of that number, whole, unless there is one."""
+        path, half = self._path(f"{self.root}/v{number:08d}.done"), self._path(f"{self.root}/.{uuid.uuid4().hex}.tmp")
+        stream = self._fs.create(half)
+        try:
+            stream.write(bytearray(json.dumps(marker).encode()))
+        finally:
+            stream.close()
+        try:
+            at = self._fs.resolvePath(self._path(self.root)).toUri()
+            if at.getScheme() == "file":  # where a rename replaces
+                try:
+                    os.link(f"{at.getPath()}/{half.getName()}", f"{at.getPath()}/{path.getName()}")
+                except FileExistsError:
+                    return False
+                return True
+            return not self._fs.exists(path) and self._fs.rename(half, path)
+        finally:
+            self._fs.delete(half, False)

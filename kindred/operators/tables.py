@@ -1,7 +1,7 @@
 """Tables that operators write on their way, in the folder that driver and executors share.
 
 A written table ends lineage and is computed once, however many branches read it. Tables go with drop_table() once
-nothing reads them again, and the rest when the application ends.
+nothing reads them again, those made within a scope() when it ends, and the rest when the application ends.
 """
 
 from __future__ import annotations
@@ -9,9 +9,14 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SCOPES: ContextVar[tuple[list[tuple[SparkSession, str]], ...]] = ContextVar("scopes", default=())
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names; one of our own only where none is set and all runs on this machine."""
@@ -36,6 +41,8 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     fs, at = _file_system(spark, path)
     fs.deleteOnExit(at)
+    for held in _SCOPES.get()[-1:]:
+        held.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -44,3 +51,19 @@ def drop_table(df: DataFrame) -> None:
     for folder in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
         fs, at = _file_system(df.sparkSession, folder)
         fs.delete(at, True)
+
+
+@contextmanager
+def scope() -> Iterator[None]:
+    """Tables that cut() makes inside go when the block ends: for long-lived sessions that have taken their rows by then.
+    Of nested scopes the inner one has the table."""
+    held: list[tuple[SparkSession, str]] = []
+    token = _SCOPES.set((*_SCOPES.get(), held))
+    try:
+        yield
+    finally:
+        _SCOPES.reset(token)
+        for spark, path in held:
+            fs, at = _file_system(spark, path)
+            fs.delete(at, True)
+            fs.cancelDeleteOnExit(at)

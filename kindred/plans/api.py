@@ -13,10 +13,11 @@ from kindred.config import EngineConfig
 from kindred.errors import MSG_PARAGRAPH_EMPTY, UNAVAILABLE, EngineError, raised_by_worker
 from kindred.functions import text as tx
 from kindred.operators import staging, store as st, vote
-from kindred.operators.index import IndexHolder, hash_index
+from kindred.operators.index import IndexHolder
+from kindred.operators.tables import scope
 from kindred.schemas import SHEET
 from kindred.sources import xlsx
-from kindred.sources.embedder import Embedder, embed_column
+from kindred.sources.embedder import Embedder, embed_column, embedded_texts
 
 log = logging.getLogger(__name__)
 
@@ -58,7 +59,8 @@ class Engine:
             errors = staging.errors(staged, cap)
             if found := self._errors(errors):
                 return self._failed(total, skipped, found)
-            compared = st.compare_with_store(staged.where(F.col("status") == "new"), self.store.read()).persist()
+            new = staged.where(F.col("status") == "new")
+            compared = st.compare_with_store(new, self.store.holding(new)).persist()
             skipped += compared.where(F.col("store_status") == "skipped").count()
             if found := self._errors(st.store_conflict_errors(compared)):
                 return self._failed(total, skipped, found)
@@ -81,46 +83,52 @@ class Engine:
     def _insert(self, fresh: DataFrame, source_file: str | None) -> int:
         emb = self.cfg.embedding
         rows = st.assign_ids(fresh.select("row_no", "paragraph", "normalized_text", "text_hash", "codes"), self.store.next_id())
-        embedded = embed_column(rows, self.embedder, "normalized_text", emb.batch_size)
+        embedded = embed_column(rows, self.embedder, "normalized_text", emb.batch_size)  # written once; insert_all() reads it back
         return self.store.insert_all(st.storage_projection(embedded, emb.model_version, emb.dimension, source_file))
 
     def predict(self, requests: DataFrame) -> DataFrame:
         """Predictions of (query_id, paragraph); empty or too long paragraphs are an error.
 
-        The frame is lazy: an embedder's failure is raised where its rows are taken, as Spark's exception, and
-        errors.raised_by_worker() gives the EngineError with its code. predict_one() and envelope() do so.
+        Requests are routed and texts without an exact match embedded, each once, before this returns: both are written as tables, and
+        an embedder's failure is an EngineError here. Search and vote are lazy. The tables stay until the application ends, or
+        until the tables.scope() ends in which predict() was called.
         """
-        snapshot = self.index.current
-        if snapshot is None:
-            raise EngineError("index not loaded", UNAVAILABLE)
+        snapshot = self._snapshot()
         ready = requests.select("query_id", tx.normalize(F.col("paragraph")).alias("normalized_text"))
-        bad = ready.select(tx.paragraph_error(F.col("normalized_text"), self.cfg.search.max_paragraph_length).alias("e")).where(F.col("e").isNotNull()).first()
-        if bad:
-            raise EngineError(bad.e)
         ready = ready.withColumn("text_hash", tx.text_hash(F.col("normalized_text")))
-        embed = lambda df: embed_column(df, self.embedder, "normalized_text", self.cfg.embedding.batch_size)
-        return vote.predict(ready, snapshot.samples, hash_index(snapshot.samples), self.cfg.search, embed, dimension=self.cfg.embedding.dimension)
+        embed = lambda rows: embedded_texts(rows, self.embedder, "text_hash", "normalized_text", self.cfg.embedding.batch_size)
+        check = lambda c: tx.paragraph_error(c, self.cfg.search.max_paragraph_length)
+        try:
+            return vote.predict_texts(ready, snapshot.samples, snapshot.hashes, self.cfg.search, embed, self.cfg.embedding.dimension, snapshot.blocks, check)
+        except Exception as e:
+            raise raised_by_worker(e) or e
 
     def predict_one(self, paragraph: str | None) -> dict:
         if paragraph is None or not paragraph.strip("".join(map(chr, range(33)))):
             raise EngineError(MSG_PARAGRAPH_EMPTY)
         started = time.monotonic()
         try:
-            row = self.predict(self.spark.createDataFrame([(1, paragraph)], "query_id long, paragraph string")).first()
+            with scope():
+                row = self.predict(self.spark.createDataFrame([(1, paragraph)], "query_id long, paragraph string")).first()
         except Exception as e:
             raise raised_by_worker(e) or e
         log.info("predicted in %d ms, %s", (time.monotonic() - started) * 1000, row.match_type)
         return {**row.asDict(recursive=True), "model_version": self.cfg.embedding.model_version}
 
+    def _snapshot(self):
+        if self.index.current is None:
+            raise EngineError("index not loaded", UNAVAILABLE)
+        return self.index.current
+
     def reload_index(self) -> dict:
+        """Take up what the store has published since the last load; only that is decoded. Requests see the old snapshot until the swap."""
         emb = self.cfg.embedding
-        self.index.reload(st.active_samples(self.store.read(), emb.model_version, emb.dimension), emb.dimension)
+        read = lambda versions: st.active_samples(self.store.read(versions), emb.model_version, emb.dimension)
+        self.index.follow({v: self.store.marker(v)["rows"] for v in self.store.live()}, read, emb.dimension)
         return self.index_status()
 
     def index_status(self) -> dict:
-        s = self.index.current
-        if s is None:
-            raise EngineError("index not loaded", UNAVAILABLE)
+        s = self._snapshot()
         return {"status": s.status, "sample_count": s.sample_count, "error_count": s.error_count, "loaded_at": s.loaded_at, "model_version": self.cfg.embedding.model_version, "dimension": self.cfg.embedding.dimension}
 
     def is_healthy(self) -> bool:

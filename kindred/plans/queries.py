@@ -330,6 +330,34 @@ def import_summary(spark, sf):
     return store.import_summary(store.compare_with_store(staged, known))
 
 
+def s_summary(codes: str, rows: str, name: str) -> str:
+    """The summary of the odd rows against the even ones."""
+    return f"""SELECT * FROM (WITH {s_staged(codes)},
+v AS (SELECT *, row_number() OVER (PARTITION BY row_no % 2, text_hash ORDER BY row_no) AS rn FROM d WHERE row_error IS NULL),
+o AS (SELECT text_hash AS h, codes AS c FROM v WHERE rn = 1 AND row_no % 2 = 1), s AS (SELECT text_hash, codes FROM v WHERE rn = 1 AND row_no % 2 = 0),
+b AS (SELECT x.row_no, x.row_error, x.rn, CASE WHEN x.row_error IS NOT NULL THEN 'invalid' WHEN x.rn = 1 THEN 'new' WHEN x.codes = o.c THEN 'skipped' ELSE 'conflict' END AS status,
+  CASE WHEN s.text_hash IS NULL THEN 'new' WHEN s.codes = x.codes THEN 'skipped' ELSE 'conflict' END AS store_status
+  FROM (SELECT row_no, text_hash, codes, row_error, rn FROM v UNION ALL SELECT row_no, text_hash, codes, row_error, NULL FROM d WHERE row_error IS NOT NULL) x LEFT JOIN o ON o.h = x.text_hash LEFT JOIN s ON s.text_hash = x.text_hash
+  WHERE x.row_no % 2 = 1 AND ({rows})),
+c AS (SELECT count(*) AS total, count(*) FILTER (status IN ('invalid', 'conflict')) AS bad, count(*) FILTER (status = 'skipped') AS dup, count(*) FILTER (status = 'new' AND store_status = 'conflict') AS clash,
+  count(*) FILTER (status = 'new' AND store_status = 'skipped') AS known, count(*) FILTER (status = 'new' AND store_status = 'new') AS fresh FROM b)
+SELECT '{name}' AS sheet, total AS total_rows, CASE WHEN bad = 0 AND clash = 0 THEN fresh ELSE 0 END AS inserted, dup + CASE WHEN bad = 0 THEN known ELSE 0 END AS skipped, CASE WHEN bad > 0 THEN bad ELSE clash END AS n_errors FROM c)"""
+
+
+@query(" UNION ALL ".join([s_summary("lang", "x.row_error IS NULL", "accepted"), s_summary("source", "x.rn = 1", "store conflicts"), s_summary("source", "true", "sheet errors")]))
+def import_summary_store(spark, sf):
+    """Summaries against a store with rows: of a sheet that is accepted, one that only the store rejects, and one that is rejected before."""
+
+    def summary(codes: str, rows: Column, name: str) -> DataFrame:
+        d = staging.keys(staging.derive(staging.skip_blank_rows(sheet(spark, sf, codes))))
+        _, known = _split(spark, sf, codes)
+        staged = staging.classify(d.where(F.col("row_no") % 2 == 1)).where(rows)
+        return store.import_summary(store.compare_with_store(staged, known)).select(F.lit(name).alias("sheet"), "*")
+
+    out = summary("lang", F.col("row_error").isNull(), "accepted").unionByName(summary("source", F.col("status") == "new", "store conflicts"))
+    return out.unionByName(summary("source", F.lit(True), "sheet errors"))
+
+
 @query("SELECT vec_id AS sample_id FROM embeddings WHERE vec_id % 3 <> 0 AND vec_id % 4 <> 0")
 def active_samples(spark, sf):
     e = table(spark, sf, "embeddings").select(
@@ -382,6 +410,33 @@ def index_status(spark, sf):
     return ix.index_status(build_index(spark, sf))
 
 
+TWICE = S_UNIT.format(v="w")
+
+
+@query(f"SELECT vec_id AS sample_id, CAST(unnest(range(1, 65)) AS INTEGER) AS pos, CAST(round(CAST(unnest({TWICE}) AS DOUBLE) * 1e5) AS BIGINT) AS value FROM (SELECT vec_id, {S_UNIT.format(v='s')} AS w FROM (SELECT vec_id, {S_SCALED} AS s FROM embeddings))")
+def index_vectors(spark, sf):
+    """The vectors that search reads: normalised when they are stored, and again when they are loaded."""
+    stored = cut(table(spark, sf, "embeddings").select(F.col("vec_id").alias("sample_id"), F.lit("a").alias("codes"), vx.l2_normalize(scaled()).alias("vector")), "stored")
+    index = ix.good_samples(ix.build_index(stored, DIM))
+    return index.select("sample_id", F.posexplode("vector").alias("pos", "x")).select("sample_id", (F.col("pos") + 1).alias("pos"), F.round(F.col("x").cast("double") * 1e5).cast("long").alias("value"))
+
+
+ZEROS = "list_transform(embedding, lambda x: CAST(0 AS FLOAT))"
+
+
+@query(
+    f"WITH b AS (SELECT label % 4 AS part, CASE label % 4 WHEN 0 THEN embedding WHEN 1 THEN {ZEROS} ELSE {BAD} END AS b FROM embeddings), g AS (SELECT part, count(*) FILTER ({S_GOOD}) AS good, count(*) FILTER (NOT ({S_GOOD})) AS bad FROM b GROUP BY part)"
+    " SELECT part, CASE WHEN good = 0 THEN 'EMPTY' WHEN bad = 0 THEN 'READY' ELSE 'DEGRADED' END AS status, good AS sample_count, bad AS error_count FROM g"
+)
+def index_status_groups(spark, sf):
+    """Status of good, bad and mixed samples."""
+    part = F.col("label") % 4
+    zeros = F.transform("embedding", lambda x: F.lit(0.0).cast("float"))
+    vector = F.when(part == 0, F.col("embedding")).when(part == 1, zeros).otherwise(damaged())
+    index = ix.build_index(table(spark, sf, "embeddings").select(part.alias("part"), F.lit("a").alias("codes"), vector.alias("vector")), DIM)
+    return ix.index_status(index, "part")
+
+
 S_HASHED = f"hd AS (SELECT doc_id, sha256({s_norm('text')}) AS text_hash FROM documents)"
 
 

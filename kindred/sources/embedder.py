@@ -6,18 +6,19 @@ import hashlib
 import http.client
 import json
 import math
-import urllib.error
-import urllib.request
+import urllib.parse
 from collections.abc import Iterator
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kindred.config import EmbeddingConfig
 from kindred.errors import UNAVAILABLE, EngineError, marked
+from kindred.operators.tables import cut
 
 
 class Embedder(Protocol):
@@ -53,57 +54,73 @@ def parse_response(body: object, count: int, dimension: int) -> list[list[float]
 class HttpEmbedder:
     """POSTs {"inputs": [...]} and expects one row of numbers for each text.
 
-    Server errors and connection or read failures are tried again at once, max_retries times; anything
-    else fails at once. Errors carry the cause's class, never a body.
+    Server errors and connection or read failures are tried again at once, max_retries times; a reply that is broken off or isn't
+    HTTP is a read failure. Anything else fails at once. Errors carry the cause's class, never a body. A process keeps its
+    connection from call to call; where the server has closed it meanwhile, a new one is opened, which isn't a try.
     """
 
     def __init__(self, cfg: EmbeddingConfig):
         self.cfg, self.dimension = cfg, cfg.dimension
+        self._held: tuple[str, http.client.HTTPConnection] | None = None
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "_held": None}  # workers open their own
 
     def embed(self, texts: list[str]) -> list[list[float]]:
-        request = urllib.request.Request(self.cfg.endpoint, json.dumps({"inputs": texts}).encode(), {"Content-Type": "application/json"})
+        body = json.dumps({"inputs": texts}).encode()
         for left in range(max(0, self.cfg.max_retries), -1, -1):
             try:
-                with self._opener().open(request) as reply:
-                    body = json.load(reply)
-                return parse_response(body, len(texts), self.dimension)
-            except urllib.error.HTTPError as e:
-                if e.code < 500 or not left:
-                    raise EngineError(f"embedding service failed: {type(e).__name__}", UNAVAILABLE) from e
-            except (urllib.error.URLError, OSError) as e:
+                status, reply = self._post(body)
+            except (OSError, http.client.HTTPException) as e:
                 if not left:
                     raise EngineError(f"embedding service failed: {type(e).__name__}", UNAVAILABLE) from e
+                continue
+            if status >= 500 and left:
+                continue
+            if not 200 <= status < 300:
+                raise EngineError(f"embedding service failed: HTTP {status}", UNAVAILABLE)
+            try:
+                return parse_response(json.loads(reply), len(texts), self.dimension)
             except ValueError as e:
                 raise EngineError(f"embedding reply can't be processed: {type(e).__name__}", UNAVAILABLE) from e
         raise AssertionError
 
-    def _opener(self) -> urllib.request.OpenerDirector:
-        """Connections that give up after connect_timeout_ms, and once connected wait read_timeout_ms for each read."""
-        connect, read = self.cfg.connect_timeout_ms / 1000, self.cfg.read_timeout_ms / 1000
-
-        def timed(kind: type[http.client.HTTPConnection]) -> type[http.client.HTTPConnection]:
-            class Timed(kind):
-                def connect(self):
-                    self.timeout = connect
-                    super().connect()
-                    self.sock.settimeout(read)
-
-            return Timed
-
-        class Plain(urllib.request.HTTPHandler):
-            def http_open(self, request):
-                return self.do_open(timed(http.client.HTTPConnection), request)
-
-        class Secure(urllib.request.HTTPSHandler):
-            def https_open(self, request):
-                return self.do_open(timed(http.client.HTTPSConnection), request)
-
-        return urllib.request.build_opener(Plain, Secure)
+    def _post(self, body: bytes) -> tuple[int, bytes]:
+        kept = self._held is not None and self._held[0] == self.cfg.endpoint
+        try:
+            return self._exchange(body)
+        except (ConnectionError, http.client.BadStatusLine):
+            if not kept:
+                raise
+        return self._exchange(body)  # the kept connection was stale: RemoteDisconnected is such an error too
+
+    def _exchange(self, body: bytes) -> tuple[int, bytes]:
+        """One request on the kept connection, or on a new one, which gives up after connect_timeout_ms and then waits read_timeout_ms
+        for each read. After a failure, or if the server asks for it, the connection isn't kept."""
+        at = urllib.parse.urlsplit(self.cfg.endpoint)
+        connection = self._held[1] if self._held is not None and self._held[0] == self.cfg.endpoint else None
+        self._held = None
+        if connection is None:
+            kind = http.client.HTTPSConnection if at.scheme == "https" else http.client.HTTPConnection
+            connection = kind(at.hostname, at.port, timeout=self.cfg.connect_timeout_ms / 1000)
+        try:
+            if connection.sock is None:
+                connection.connect()
+                connection.sock.settimeout(self.cfg.read_timeout_ms / 1000)
+            connection.request("POST", (at.path or "/") + (f"?{at.query}" if at.query else ""), body, {"Content-Type": "application/json"})
+            reply = connection.getresponse()
+            data = reply.read()
+        except BaseException:
+            connection.close()
+            raise
+        if connection.sock is not None:
+            self._held = self.cfg.endpoint, connection
+        return reply.status, data
 
     def is_healthy(self) -> bool:
         try:
             self.embed(["health"])
-        except EngineError:
+        except Exception:  # whatever it was, the probe answers
             return False
         return True
 
@@ -125,6 +142,12 @@ class HashEmbedder:
         return True
 
 
+def embedded_texts(rows: DataFrame, embedder: Embedder, key: str, text: str, batch_size: int = 8) -> DataFrame:
+    """(key, vector), as a table: each distinct key is embedded once, by the job that this call runs; equal keys have equal texts."""
+    distinct = rows.groupBy(key).agg(F.any_value(text).alias(text))
+    return cut(embed_column(distinct, embedder, text, batch_size).select(key, "vector"), "embedded")
+
+
 def embed_column(df: DataFrame, embedder: Embedder, text: str, batch_size: int = 8) -> DataFrame:
     """Add `vector` by calling the embedder on slices of the partition's rows; any failure fails the job."""
     step = max(1, batch_size)

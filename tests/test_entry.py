@@ -23,6 +23,6 @@ def test_entry_without_the_subpackage():
         "        if name == 'corpus_pipeline' or name.startswith('kindred.llm'): raise ModuleNotFoundError(name, name=name)\n"
         "sys.meta_path.insert(0, Gone())\n"
         "import __spark_entry__ as e\n"
-        "assert len(e.queries()) == 45 and not any(q.startswith('op') or q == 'pipeline' for q in e.queries())\n"
+        "assert len(e.queries()) == 48 and not any(q.startswith('op') or q == 'pipeline' for q in e.queries())\n"
     )
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True)
