@@ -4,7 +4,7 @@ Texts of plain characters are taken apart into the words of the vocabulary's own
 encodes each word that is new; only distinct words meet Python. Other texts are split before every space that a
 non-space follows, where both vocabularies split as well, so that their ids are those of their pieces; the library encodes a
 piece as a whole, and so it does a byte-level text in which a space stands before white space or
-at the end. Special tokens' strings in a text are ordinary text.
+at the end, and every text in which the string of a special token occurs: it gets that token's id, as by the library's plain call.
 """
 
 from __future__ import annotations
@@ -144,7 +144,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
+        self._special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
         # a normaliser that folds white space and case makes spaces around words harmless
         self._folds = self._tokenizer.normalizer is not None
         self._split = regex.compile(WORD_PATTERN if self._folds else BYTE_PATTERN).findall
@@ -177,16 +177,33 @@ class Encoder:
         texts = pc.fill_null(texts.cast(pa.string()), "")
         if not len(texts):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        named = np.zeros(len(texts), bool)
+        for s in self._special:
+            named |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        return self._joined(texts, named, self._encode_whole, self._encode_plain) if named.any() else self._encode_plain(texts)
+
+    def _joined(self, texts: pa.Array, mine: np.ndarray, one: Callable, other: Callable) -> tuple[np.ndarray, np.ndarray]:
+        """The texts of `mine` encoded by one way, the rest by another."""
+        n, parts = np.empty(len(texts), np.int64), []
+        for rows, how in ((mine, one), (~mine, other)):
+            parts.append(how(texts.filter(pa.array(rows))) if rows.any() else (np.zeros(0, np.uint32), np.zeros(0, np.int64)))
+            n[rows] = parts[-1][1]
+        starts, out = np.cumsum(n) - n, np.empty(int(n.sum()), np.uint32)
+        for rows, (ids, counts) in zip((mine, ~mine), parts):
+            out[ranges(starts[rows], counts)] = ids
+        return out, n
+
+    def _encode_whole(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        ids = [self._tokenizer.encode(t.as_py(), add_special_tokens=False).ids for t in texts]
+        counts = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.uint32, int(counts.sum())), counts
+
+    def _encode_plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Texts without special tokens."""
         easy = pc.match_substring_regex(texts, EASY if self._folds else EASY_BYTES).to_numpy(zero_copy_only=False)
         if easy.all():
             return self._encode_words(texts)
-        parts = (self._encode_pieces(texts.filter(pa.array(~easy))), self._encode_words(texts.filter(pa.array(easy))))
-        n = np.empty(len(texts), np.int64)
-        n[~easy], n[easy] = parts[0][1], parts[1][1]
-        starts, out = np.cumsum(n) - n, np.empty(int(n.sum()), np.uint32)
-        for mine, (ids, counts) in zip((~easy, easy), parts):
-            out[ranges(starts[mine], counts)] = ids
-        return out, n
+        return self._joined(texts, ~easy, self._encode_pieces, self._encode_words)
 
     def _encode_words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Easy texts. Empty strings among the words have no ids."""

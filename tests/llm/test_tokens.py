@@ -24,9 +24,7 @@ TEXTS = ["", "a", "  a b", "a  b", "a \nb", " x ", " ", "don't  stop", "é̀ ̀
 def library(name):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(vocabulary(name))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(vocabulary(name))
 
 
 @pytest.mark.parametrize("name", FILES)
@@ -53,6 +51,32 @@ def test_any_spacing(name, texts):
     assert ids.tolist() == [x for w in want for x in w] and n.tolist() == [len(w) for w in want]
 
 
+@pytest.mark.parametrize("name", FILES)
+@given(texts=st.lists(st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|", "|>", "a", " ", "\n", "B\u00e9", "<|endoftext|", "'s", "  "]), max_size=8).map("".join), max_size=5))
+@settings(max_examples=400, deadline=None)
+def test_special_tokens_in_texts(name, texts):
+    """A special token's string gives its id, as by the library's plain call."""
+    if name not in CACHE:
+        CACHE[name] = Encoder(vocabulary(name)), library(name)
+    enc, lib = CACHE[name]
+    ids, n = enc.encode(pa.array([*texts, None], pa.string()))
+    want = [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)] + [[]]
+    assert ids.tolist() == [x for w in want for x in w] and n.tolist() == [len(w) for w in want]
+
+
+def test_end_ids_within_texts(spark):
+    """A text's own end ids don't end its document."""
+    texts = ["<|endoftext|>", "a<|endoftext|>b <|endoftext|>", "!", "", "!!! <|startoftext|>!" * 20]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for end in (0, 50256):
+        got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in grammar.read(grammar.write(df, end_id=end)).collect()}
+        lib = library("byte_bpe_50k.json")
+        for k, t in enumerate(texts):
+            ids = lib.encode(t, add_special_tokens=False).ids + [end]
+            assert got[k] == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+    check_packing(packing.pack(df).collect(), list(enumerate(texts)))
+
+
 # --- packing
 def check_packing(rows, texts):
     """rows: pieces; texts: (doc_id, text) of every row packed."""
