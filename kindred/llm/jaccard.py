@@ -13,7 +13,9 @@ stand before it. A copy's own changes are such rarer shingles, so the leader is
 in common, and one wave joins what a middle can join. Shingles that meet in different components after it are open. While
 their classes could still make more than `dense` pairs each, further waves take a leader for each pattern of parity bits among
 a shingle's classes, as long as they join anything; the last wave takes every pair that is
-left between different components, so no link that matters for connectivity is lost.
+left between different components, so no link that matters for connectivity is lost. Sets that are dense below the threshold join nothing in any
+wave, and all their pairs would come to the last one: there the suffix filter goes by 2,048 ranges, which tells sets of up to about two
+thousand shingles apart that are a little too different to link, while they are joined, so that they make no pair.
 
 Cases: null text, and text without words, has an empty set and links with nothing; fewer than k words make one
 shingle of the whole sequence; repeated rows and null ids are members of their class; a class whose ids are all null has a
@@ -43,6 +45,7 @@ _LOWER[65:91] += 32
 SLICES = 64
 FAN_IN = 64
 WORDS = ("p0", "p1", "p2", "p3")
+FINE = 32  # words of the last wave's parity
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _CODES = byte_codes()[_LOWER]
 
@@ -221,6 +224,12 @@ def _near(percent: int) -> Column:
     return apart <= F.col("n") + F.col("n2") - 2 * _need(percent)
 
 
+def _finely_near(percent: int) -> Column:
+    """The suffix filter over the words of `fine`."""
+    apart = reduce(lambda a, b: a + b, [F.bit_count(F.col("fine")[k].bitwiseXOR(F.col("fine2")[k])) for k in range(FINE)])
+    return apart <= F.col("n") + F.col("n2") - 2 * _need(percent)
+
+
 def _among(rows: DataFrame, column: str, keys: DataFrame, params: JoinParams, held: list[Broadcast]) -> DataFrame:
     """The rows that may be among the keys (one column): a filter of a bounded size, so that few others are shuffled.
     It is added to `held`, to be destroyed when the rows have been written."""
@@ -270,9 +279,10 @@ def _settled(rows: DataFrame, name: str, held: list[Broadcast]) -> DataFrame:
     return out
 
 
-def parity(own: np.ndarray) -> np.ndarray:
-    """Whether the number of hashes in each of 256 equal ranges is odd, as four words."""
-    odd = (np.bincount((own >> np.uint64(56)).astype(np.int64), minlength=256) & 1).astype(np.uint8)
+def parity(own: np.ndarray, words: int = len(WORDS)) -> np.ndarray:
+    """Whether the number of hashes in each of 64 equal ranges a word is odd."""
+    bits = (64 * words).bit_length() - 1
+    odd = (np.bincount((own >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits) & 1).astype(np.uint8)
     return np.packbits(odd).view(np.int64)
 
 
@@ -380,6 +390,24 @@ def _leaders(rows: DataFrame, wave: int) -> DataFrame:
     return _as_partner(rows.groupBy("token", _pattern(wave).alias("pattern")).agg(best).select("token", "pattern", "x.*"))
 
 
+def _every_pair(rows: DataFrame, own: DataFrame, meet: Column, params: JoinParams, used: list[DataFrame]) -> DataFrame:
+    """The pairs of each shingle's classes that meet. Few classes of a shingle make few pairs each; where more than 2 `dense` share one, the
+    classes carry their fine parity, which the join tests as well. Tables are added to `used`."""
+    crowded = cut(rows.groupBy(F.col("token").alias("t")).agg(F.count("*").alias("k")).where(F.col("k") > 2 * params.dense + 1).select("t"), "crowded")
+    used.append(crowded)
+    if crowded.isEmpty():
+        return rows.join(_as_partner(rows), meet)
+    here = F.col("token") == F.col("t")
+    few, many = rows.join(crowded, here, "left_anti"), rows.join(crowded, here, "left_semi")
+    named = many.select(F.col("node").alias("c")).distinct()
+    fine = cut(own.where("node <> 0").select(F.col("node").alias("c"), "fine").join(named, "c", "left_semi").groupBy("c").agg(F.any_value("fine").alias("fine")), "fine-parities")
+    used.append(fine)
+    many = cut(many.join(fine, F.col("node") == F.col("c")).drop("c"), "crowded-prefixes")
+    used.append(many)
+    columns = ["node", "node2"]
+    return few.join(_as_partner(few), meet).select(*columns).unionByName(many.join(_as_partner(many), meet & _finely_near(params.percent)).select(*columns))
+
+
 def _open(entries: DataFrame, roots: DataFrame | None) -> DataFrame:
     """Entries with their components, of shingles whose classes are in more than one."""
     if roots is None:
@@ -399,14 +427,18 @@ def _untried(pairs: DataFrame, tried: DataFrame | None) -> DataFrame:
 
 
 def classes(docs: DataFrame, params: JoinParams) -> DataFrame:
-    """doc_id, th, n_shingles, node, and the four words of the set's parity, of every row."""
+    """doc_id, th, n_shingles, node, the set's parity by four words and by FINE, and its range counts, of every row."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        got = [(len(s), node_of(s), *parity(s).tolist(), range_counts(s).tobytes()) for s in sets_of(batch.column(1), params.words)]
+        got, fine = [], []
+        for own in sets_of(batch.column(1), params.words):
+            got.append((len(own), node_of(own), *parity(own).tolist(), range_counts(own).tobytes()))
+            fine.append(parity(own, FINE))
         columns = [pa.array([g[k] for g in got], pa.int64() if k < 2 + len(WORDS) else pa.binary()) for k in range(3 + len(WORDS))]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], ["doc_id", "th", "n_shingles", "node", *WORDS, "counts"])
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(fine) + 1, dtype=np.int32) * FINE), pa.array(np.concatenate(fine)))
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns, lists], ["doc_id", "th", "n_shingles", "node", *WORDS, "counts", "fine"])
 
-    return map_arrow(docs.select("doc_id", "text", F.xxhash64("text").alias("th")), run, "doc_id long, th long, n_shingles long, node long, p0 long, p1 long, p2 long, p3 long, counts binary")
+    return map_arrow(docs.select("doc_id", "text", F.xxhash64("text").alias("th")), run, "doc_id long, th long, n_shingles long, node long, p0 long, p1 long, p2 long, p3 long, counts binary, fine array<long>")
 
 
 def node_roots(docs: DataFrame, own: DataFrame, params: JoinParams) -> DataFrame | None:
@@ -429,12 +461,12 @@ def node_roots(docs: DataFrame, own: DataFrame, params: JoinParams) -> DataFrame
     while True:
         if wave or last:  # few rows are in open groups: they carry their parities, and the joins themselves test them
             rows = rows.join(words, F.col("node") == F.col("c")).drop("c")
-        partner = _leaders(rows, wave) if not last else _as_partner(rows)
+        partner = _leaders(rows, wave) if not last else None
         order = F.col("node") < F.col("node2") if last else F.col("node") != F.col("node2")
         meet = (F.col("token") == F.col("token2")) & (F.col("root") != F.col("root2")) & order & _possible(params.percent)
         if wave or last:
             meet &= _near(params.percent)
-            met = rows.join(partner, meet if last else meet & (_pattern(wave) == F.col("pattern2")))
+            met = rows.join(partner, meet & (_pattern(wave) == F.col("pattern2"))) if not last else _every_pair(rows, own, meet, params, used)
         else:
             met = rows.join(partner, meet).select("node", "n", "node2", "n2").distinct().join(words, F.col("node") == F.col("c")).drop("c")
             met = met.join(words.select(F.col("c"), *[F.col(w).alias(f"{w}_2") for w in WORDS]), F.col("node2") == F.col("c")).where(_near(params.percent))

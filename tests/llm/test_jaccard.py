@@ -98,6 +98,26 @@ def test_large_families_in_any_number_of_waves(spark):
         assert run(df, words=4, percent=85, **params) == want
 
 
+def test_a_dense_group_that_does_not_link(spark, monkeypatch):
+    """Sets of 356 of 400 words are about 0.8 alike: none links at 0.85, and the last wave makes next to no pairs of them."""
+    made, whole = [], jaccard._untried
+    monkeypatch.setattr(jaccard, "_untried", lambda pairs, tried: made.append(whole(pairs, tried)) or made[-1])
+    monkeypatch.setattr(jaccard, "drop_table", lambda df: None)
+    rng = np.random.default_rng(4)
+    counts = []
+    for size in (100, 200):
+        rows = [(i, " ".join(f"w{x}" for x in np.sort(rng.permutation(400)[:356]))) for i in range(size)]
+        rows += [(size + i, " ".join(f"v{x}" for x in np.sort(rng.permutation(400)[: 398 - i % 3]))) for i in range(20)]  # and some that do
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        want = brute(rows, 1, 85)
+        assert sum(c == d for d, _, c in want) == size + 1
+        for waves in (0, 6) if size == 100 else (1, 6):
+            made.clear()
+            assert run(df, words=1, percent=85, waves=waves) == want
+        counts.append(made[-1].count())
+    assert max(counts) <= 40, counts
+
+
 def test_odd_rows(spark, odd, empty):
     assert run(odd, words=4, percent=85) == brute([(r[0], r[1]) for r in ODD], 4, 85)
     assert run(empty) == []
