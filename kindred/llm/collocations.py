@@ -196,7 +196,6 @@ def _frequent_words_and_pairs(tries: DataFrame, params: PhraseParams) -> DataFra
 def _deep_tries(texts: DataFrame, ranges: int, pairs: KeyFilter, params: PhraseParams) -> DataFrame:
     """Tries of up to `depth` words where all pairs may be frequent, as a table; and the words on their edges, by hash."""
     shared = texts.sparkSession.sparkContext.broadcast(pairs)
-    wide = params.depth + 1
 
     def serialised(lang: str, hashes: np.ndarray, follows: np.ndarray) -> Iterator[tuple]:
         good = np.append(follows[1:], False)  # at i: the pair of i and i + 1
@@ -332,8 +331,7 @@ def collocations(docs: DataFrame, params: PhraseParams = PhraseParams()) -> Data
     best = Window.partitionBy("lang").orderBy(F.col("x.score").desc(), F.col("a").desc())
     # ties at the end stay until the words are known
     first = cut(kept.withColumn("place", F.rank().over(best)).where(F.col("place") <= params.top).drop("place", "most"), "best-phrases")
-    for used in (phrases,):
-        drop_table(used)
+    drop_table(phrases)
     phrase = _named(first, tries)
     order = Window.partitionBy("lang").orderBy(F.col("x.score").desc(), F.col("a").desc(), "phrase")
     ranked = phrase.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= params.top)
