@@ -4,12 +4,17 @@ Base kinds (assign, access, hex) are regular expressions whose matches must pass
 linker adds parts of credentials that are too weak alone: an identifier (an access key of another family, one of 12 to 19
 characters, or an assigned user or client id), a secret (a mixed run of 32 or more base64 characters, 16 to 23 hex digits, an assigned
 value of 3 to 5 characters) and an endpoint (a URL or a cloud host). A weak part is reported only when a complementary part,
-or a base match that can stand for one, starts within `scope` characters of it in the same text.
+or a base match that can stand for one, shares a scope with it in the same text.
+
+Scopes come from structure and distance. Settings are `key = value` or `key: value` lines of up to 300 characters after the sign, and
+innermost objects in braces with such a sign. A block is what lies between blank lines, section headings and braces; settings of one block
+share a scope, however long it is. Otherwise parts share one that start within `scope` characters of each other, unless both are settings
+and a heading or a brace stands between them: then they belong to different sections or objects. A prose part has only its distance.
 
 The link is an interval join made of equi-joins: parts fall into bins of `scope` characters; each bin gets the
 extremes of the partners in it and in its neighbours, which decide for every part of the bin whether a
-partner is near. No pairs are made, so a text with many parts, or many rows of one text, costs in
-proportion. Only texts with a candidate are taken apart.
+partner is near. There are bins of all parts, of prose, and of each section's settings; a block is a bin of its own. No pairs are
+made, so a text with many parts, or many rows of one text, costs in proportion. Only texts with a candidate are taken apart.
 
 Cases: null text is empty and has no spans; spans are code points, end exclusive; empty results are empty
 strings. Ties: parts that start together are all parts, in the order of their kinds. Very long texts are scanned whole. Rows
@@ -21,7 +26,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.llm.common import cut
@@ -43,6 +48,12 @@ KINDS = BASE + WEAK
 #: What each weak kind needs nearby.
 NEEDS = {"identifier": ("secret", "assign", "hex"), "secret": ("identifier", "access", "endpoint"), "endpoint": ("secret", "access")}
 SCOPE = 400
+# Structure. A break is a blank line (soft), or a section's heading or a brace (hard); settings are objects or lines.
+SOFT = r"\n[\x20\t\r]*+(?=\n)"
+HARD = r"\n[\x20\t]*+\[[^\]\n]*+\][\x20\t\r]*+(?![^\n])|[{}]"
+SETTING = r"""\{[^{}:=]*+[:=][^{}]*+\}|(?<![^\n])[\x20\t]*+(?:export\x20++|-\x20++)?["']?[A-Za-z_][A-Za-z0-9_.-]*+["']?[\x20\t]*+[:=](?!//)[^\n{}]{0,300}+(?![^\n])"""
+MARKS = {"hard": len(KINDS), "soft": len(KINDS) + 1, "setting": len(KINDS) + 2}
+_ALL, _PROSE, _BLOCK = -1, -2, -3  # pools of partners; a section's settings are the pool of its number
 
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 _RUN = 256
@@ -123,10 +134,35 @@ def _outside(weak: Column, base: Column) -> Column:
     return F.filter(weak, lambda w: ~F.exists(base, lambda b: (w["start"] < b["end"]) & (b["start"] < w["end"])))
 
 
+def structure(text: Column, guard: Column) -> Column:
+    """Breaks and settings of a text, as spans."""
+    guard = guard & (F.contains(text, F.lit("\n")) | F.contains(text, F.lit("{")))
+    patterns = {"hard": HARD, "soft": SOFT, "setting": SETTING}
+    return F.concat(*[spans(text, p, MARKS[k], 1, 0, guard) for k, p in patterns.items()])
+
+
+def placed(marked: DataFrame) -> DataFrame:
+    """Parts (key, start, kind, end) out of parts and marks, with their section, block and whether they are settings."""
+    hard, soft, setting = (F.col("kind") == MARKS[k] for k in ("hard", "soft", "setting"))
+    first = F.when(hard | soft, 0).when(setting, 1).otherwise(2)  # of what starts together
+    so_far = Window.partitionBy("key").orderBy("start", first, "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    count = lambda c: F.sum(c.cast("int")).over(so_far)
+    inside = F.coalesce(F.max(F.when(setting, F.col("end"))).over(so_far) > F.col("start"), F.lit(False))
+    known = marked.select("key", "start", "kind", "end", count(hard).alias("section"), count(hard | soft).alias("block"), inside.alias("setting"))
+    return known.where(F.col("kind") < len(KINDS))
+
+
 def linked(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """Weak parts (key, start, kind, end) with a partner that starts within `scope`."""
+    """Weak parts (key, start, kind, end, section, block, setting) with a partner in their scope."""
     binned = parts.withColumn("bin", F.floor(F.col("start") / scope))
-    near = binned.select("key", "kind", "start", F.explode(F.array(F.struct(F.lit(-1).alias("d")), F.struct(F.lit(0).alias("d")), F.struct(F.lit(1).alias("d")))).alias("o"), "bin")
+    entry = lambda pool, at, d: F.struct(F.lit(pool).cast("long").alias("pool") if isinstance(pool, int) else pool.cast("long").alias("pool"), at.cast("long").alias("at"), F.lit(d).alias("d"))
+    own = F.when(F.col("setting"), F.col("section")).otherwise(_PROSE)
+    around = [entry(pool, F.col("bin") + d, d) for pool in (_ALL, own) for d in (-1, 0, 1)]
+    block = entry(_BLOCK, F.col("block"), 0)
+    offers = F.when(F.col("setting"), F.array(*around, block)).otherwise(F.array(*around))
+    asks = F.when(F.col("setting"), F.array(entry(_PROSE, F.col("bin"), 0), entry(own, F.col("bin"), 0), block)).otherwise(F.array(entry(_ALL, F.col("bin"), 0)))
+
+    near = binned.select("key", "kind", "start", F.explode(offers).alias("o"))
     code = {k: i for i, k in enumerate(KINDS)}
     extremes = []
     for k in KINDS:
@@ -136,9 +172,9 @@ def linked(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
             F.max(F.when(mine & (F.col("o.d") == 0), F.lit(True))).alias(f"{k}_here"),
             F.min(F.when(mine & (F.col("o.d") == -1), F.col("start"))).alias(f"{k}_right"),
         ]
-    bins = near.groupBy(F.col("key").alias("k2"), (F.col("bin") + F.col("o.d")).alias("b2")).agg(*extremes)
-    weak = binned.where(F.col("kind") >= len(BASE))
-    joined = weak.join(bins, (F.col("key") == F.col("k2")) & (F.col("bin") == F.col("b2")))
+    pools = near.groupBy(F.col("key").alias("k2"), "o.pool", "o.at").agg(*extremes)
+    weak = binned.where(F.col("kind") >= len(BASE)).select("key", "start", "kind", "end", F.explode(asks).alias("o"))
+    joined = weak.join(pools, (F.col("key") == F.col("k2")) & (F.col("o.pool") == F.col("pool")) & (F.col("o.at") == F.col("at")))
 
     def has(k: str) -> Column:
         here = F.coalesce(F.col(f"{k}_here"), F.lit(False))
@@ -146,7 +182,7 @@ def linked(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
         return here | left | F.coalesce(F.col(f"{k}_right") - F.col("start") <= scope, F.lit(False))
 
     ok = reduce(lambda a, b: a | b, [(F.col("kind") == code[k]) & reduce(lambda x, y: x | y, map(has, NEEDS[k])) for k in WEAK])
-    return joined.where(ok).select("key", "start", "kind", "end")
+    return joined.where(ok).select("key", "start", "kind", "end").distinct()
 
 
 def find(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
@@ -154,13 +190,14 @@ def find(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     whole = docs.select("doc_id", text.alias("text"), F.lower(text).alias("low"))
     mark = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text"))
-    scanned = whole.select("doc_id", base_spans(F.col("text"), F.col("low")).alias("base"), weak_spans(F.col("text"), F.col("low")).alias("weak"), mark.alias("key"))
-    rows = scanned.select("doc_id", "base", _outside(F.col("weak"), F.col("base")).alias("weak"), "key")
+    scanned = whole.select("doc_id", base_spans(F.col("text"), F.col("low")).alias("base"), weak_spans(F.col("text"), F.col("low")).alias("weak"), mark.alias("key"), "text")
+    rows = scanned.select("doc_id", "base", _outside(F.col("weak"), F.col("base")).alias("weak"), "key", "text")
     # one weak part needs another part: other texts have nothing to link
     rows = rows.withColumn("key", F.when((F.size("weak") > 0) & (F.size("weak") + F.size("base") > 1), F.col("key")))
+    rows = rows.withColumn("marks", structure(F.col("text"), F.col("key").isNotNull())).drop("text")
     rows = cut(rows, "secret-spans")  # spans only; both branches below read it in place of the texts
-    parts = rows.where(F.col("key").isNotNull()).select("key", F.explode(F.concat("weak", "base")).alias("s")).select("key", "s.*").distinct()
-    added = linked(parts, scope).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("added"))
+    parts = rows.where(F.col("key").isNotNull()).select("key", F.explode(F.concat("weak", "base", "marks")).alias("s")).select("key", "s.*").distinct()
+    added = linked(placed(parts), scope).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("added"))
     nothing = F.array().cast(SPAN)
     linkable = rows.where(F.col("key").isNotNull()).join(added.withColumnRenamed("key", "key2"), F.col("key") == F.col("key2"), "left")
     # most rows have nothing to link: they aren't joined, or they would meet in one task

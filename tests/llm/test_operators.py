@@ -206,12 +206,34 @@ def test_secret_edges(spark):
 
 
 def near(text, scope):
-    """Weak spans with a partner nearby, over all pairs."""
-    low = [(m.start(), 3 + k, m.end()) for k, p in enumerate((secrets.IDENTIFIER, secrets.SECRET, secrets.ENDPOINT)) for m in re.finditer(p.replace("(?i:", "(?i:"), text, re.A)]
+    """Weak spans with a partner in their scope, over all pairs."""
+    low = [(m.start(), 3 + k, m.end()) for k, p in enumerate((secrets.IDENTIFIER, secrets.SECRET, secrets.ENDPOINT)) for m in re.finditer(p, text, re.A)]
     base = brute_secrets(text)
     weak = [w for w in low if not any(w[0] < b[2] and b[0] < w[2] for b in base)]
     needs = {3 + i: [secrets.KINDS.index(n) for n in secrets.NEEDS[k]] for i, k in enumerate(secrets.WEAK)}
-    return sorted(w for w in weak if any(p != w and p[1] in needs[w[1]] and abs(p[0] - w[0]) <= scope for p in weak + base))
+    settings = [m.span() for m in re.finditer(secrets.SETTING, text)]
+    starts = lambda p: [m.start() for m in re.finditer(p, text)]
+    hard, soft = starts(secrets.HARD), starts(secrets.SOFT)
+
+    def share(x, y):
+        a, b = sorted((x[0], y[0]))
+        both = all(any(s <= p < e for s, e in settings) for p in (a, b))
+        parted = [any(a < p <= b for p in marks) for marks in (hard, soft)]
+        return both and not any(parted) or b - a <= scope and not (both and parted[0])
+
+    return sorted(w for w in weak if any(p[1] in needs[w[1]] and share(w, p) for p in weak + base))
+
+
+def configuration(rng, part):
+    """Lines of settings, headings, objects, blank lines and prose, with parts among them."""
+    lines = []
+    for _ in range(int(rng.integers(5, 60))):
+        x = part[int(rng.integers(len(part)))]
+        kind = int(rng.integers(9))
+        value = x if " = " in x else f"value_{rng.integers(9)}: {x}"
+        lines.append(["", f"[part {rng.integers(9)}]", "  " + value, value, f"- {value}", "other_setting = " + "long " * int(rng.integers(1, 50)), "Some prose with " + x,
+                      '{"a": "' + x + '", "b": {"c": 1}, d = ' + x + "}", "} {"][kind])
+    return "\n".join(lines)
 
 
 def test_secret_links(spark):
@@ -219,6 +241,7 @@ def test_secret_links(spark):
     rng = np.random.default_rng(4)
     texts = ["", KEY, f"{part[0]} and {KEY} at {part[2]}", f"{KEY} {'x ' * 250} {part[0]}", f"{KEY} {'x ' * 150} {part[0]}"]
     texts += [" ".join(part[i] if i < 8 else "filler " * int(rng.integers(1, 60)) for i in rng.integers(0, 10, 30)) for _ in range(30)]
+    texts += [configuration(rng, part[:8]) for _ in range(60)]
     rows = spark.createDataFrame([*enumerate(texts), (2, texts[2])], "doc_id long, text string")
     got = secrets.find(rows).collect()
     assert len(got) == len(texts) + 1
