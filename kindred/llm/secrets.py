@@ -2,7 +2,7 @@
 
 Base kinds (assign, access, hex) are regular expressions whose matches must pass a length check. The
 linker adds parts of credentials that are too weak alone: an identifier (an access key of another family, one of 12 to 19
-characters, or an assigned user or client id), a secret (a mixed run of 32 or more base64 characters, 16 to 23 hex digits, an assigned
+characters, or an assigned user or client id), a secret (a mixed run of 32 or more base64 characters, 16 to 23 hex digits with a letter, an assigned
 value of 3 to 5 characters) and an endpoint (a URL or a cloud host). A weak part is reported only when a complementary part,
 or a base match that can stand for one, shares a scope with it in the same text.
 
@@ -40,7 +40,7 @@ NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 # Weak parts: look-alikes of base matches that are too short among them.
 IDENTIFIER = r"""AKIA[A-Z0-9]{8,15}(?![A-Z0-9])|\b(?:ASIA|AROA|AIDA|AGPA|ABIA)[A-Z0-9]{12,}|\b(?i:client_?id|access_?id|user_?name|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}"""
 # A match starts where a run does; the first digit, capital and small letter may stand anywhere in the run.
-SECRET = r"(?<![A-Za-z0-9+/])(?=[A-Za-z+/]*[0-9])(?=[a-z0-9+/]*[A-Z])(?=[A-Z0-9+/]*[a-z])[A-Za-z0-9+/]{32,}={0,2}|(?<![0-9a-f])[0-9a-f]{16,23}(?![0-9a-f])"
+SECRET = r"(?<![A-Za-z0-9+/])(?=[A-Za-z+/]*[0-9])(?=[a-z0-9+/]*[A-Z])(?=[A-Z0-9+/]*[a-z])[A-Za-z0-9+/]{32,}={0,2}|(?<![0-9a-f])(?=[0-9]*[a-f])[0-9a-f]{16,23}(?![0-9a-f])"
 SECRET += r"""|(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{3,5}(?![A-Za-z0-9+/_.=-])"""
 ENDPOINT = r"""(?<![a-z0-9+.-])[a-z0-9+.-]+://[^\s"'<>]+|(?<![a-z0-9.-])[a-z0-9.-]+\.(?:amazonaws|azure|googleapis|cloudflarestorage)\.com\b"""
 WEAK = ("identifier", "secret", "endpoint")
@@ -50,7 +50,7 @@ NEEDS = {"identifier": ("secret", "assign", "hex"), "secret": ("identifier", "ac
 SCOPE = 400
 # Structure. A break is a blank line (soft), or a section's heading or a brace (hard); settings are objects or lines.
 SOFT = r"\n[\x20\t\r]*+(?=\n)"
-HARD = r"\n[\x20\t]*+\[[^\]\n]*+\][\x20\t\r]*+(?![^\n])|[{}]"
+HARD = r"\n[\x20\t]*+\[[^\]\[{}\n]*+\][\x20\t\r]*+(?![^\n])|[{}]"
 SETTING = r"""\{[^{}:=]*+[:=][^{}]*+\}|(?<![^\n])[\x20\t]*+(?:export\x20++|-\x20++)?["']?[A-Za-z_][A-Za-z0-9_.-]*+["']?[\x20\t]*+[:=](?!//)[^\n{}]{0,300}+(?![^\n])"""
 MARKS = {"hard": len(KINDS), "soft": len(KINDS) + 1, "setting": len(KINDS) + 2}
 _ALL, _PROSE, _BLOCK = -1, -2, -3  # pools of partners; a section's settings are the pool of its number
@@ -122,7 +122,7 @@ def base_spans(text: Column, low: Column) -> Column:
 def weak_spans(text: Column, low: Column) -> Column:
     guards = (
         _any(text, ("AKIA", "ASIA", "AROA", "AIDA", "AGPA", "ABIA")) | (_any(text, ("=", ":")) & _any(low, ("client", "access", "user", "login"))),
-        F.regexp_like(text, F.lit("(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{32}|(?<![0-9a-f])[0-9a-f]{16}")) | (_any(text, ("=", ":")) & _any(low, NAMES)),
+        F.regexp_like(text, F.lit("(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{32}|(?<![0-9a-f])(?=[0-9]*[a-f])[0-9a-f]{16}")) | (_any(text, ("=", ":")) & _any(low, NAMES)),
         F.contains(text, F.lit("://")) | _any(text, (".amazonaws.com", ".azure.com", ".googleapis.com", ".cloudflarestorage.com")),
     )
     parts = [spans(text, p, 3 + k, 1, 0, g) for k, (p, g) in enumerate(zip((IDENTIFIER, SECRET, ENDPOINT), guards))]
