@@ -12,7 +12,9 @@ Texts without a base match are judged in the same way: linked look-alikes are fo
 make the posterior high.
 
 Feature weights, transition weights and the weight of agreement are learned from counts on a bounded sample of
-documents, labelled by the base patterns (`train_docs` documents of least hash).
+documents, labelled by the base patterns (`train_docs` documents of least hash). A look-alike that skip links join to a base match
+has no label there, since the patterns can't tell, and is left out of the counts; agreement counts linked base matches, beside
+a prior (`agreement`). What only a pattern's notation asks for, such as a number's plus, is no feature: look-alikes lack it by definition.
 
 Cases: null text is empty and has no spans; spans are code points, end exclusive; without spans the results are empty
 strings. Without training rows weights are flat. Links join consecutive occurrences, so a token repeated n times has n - 1
@@ -48,6 +50,7 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 NOT_DIGIT = re.compile(r"[^0-9]")
 WORD = re.compile(r"[^ ]+")
+AREA = re.compile(r"\([+0-9]")
 # What looks like data.
 NUMBER = re.compile(r"\+?\(?[0-9][ ().0-9-]{5,}[0-9]")
 AT = re.compile(r"@|\(at\)|\[at\]")
@@ -69,6 +72,7 @@ class PiiParams:
     rounds: int = 20
     damping: float = 0.3
     least: float = 0.9  # posterior of an added token
+    agreement: tuple[float, float] = (20.0, 1.0)  # prior counts of linked pairs that agree and don't
 
 
 @dataclass(frozen=True)
@@ -167,7 +171,8 @@ def features(text: str, start: int, end: int) -> list[str]:
     digits = NOT_DIGIT.sub("", s)
     cue = next((name for name, p in CUES if p.search(text, max(0, start - 24), start)), "none")
     inside = (start > 0 and text[start - 1].isalnum()) or (end < len(text) and text[end].isalnum())
-    return [f"luhn{12 <= len(digits) <= LONGEST and luhn(digits)}", f"inside{inside}", f"n{min(len(digits), 20)}", f"plus{s[0] == '+'}", f"par{'(' in s}", f"dot{min(s.count('.'), 4)}", f"at{'@' in s or 'at' in s}", f"sep{' ' in s}{'-' in s}", f"cue_{cue}"]
+    size = next(n for n in (0, 6, 8, 15, LONGEST, math.inf) if len(digits) <= n)  # a number loses some digits with its prefix
+    return [f"luhn{12 <= len(digits) <= LONGEST and luhn(digits)}", f"inside{inside}", f"n{size}", f"par{bool(AREA.search(s))}", f"dot{min(s.count('.'), 4)}", f"at{'@' in s or 'at' in s}", f"sep{' ' in s}{'-' in s}", f"cue_{cue}"]
 
 
 def keys(text: str, start: int, end: int) -> list[str]:
@@ -200,19 +205,39 @@ def _alone(text: str, start: int, end: int) -> int:
     return next((k for s, k, e in base_spans(text[start:end]) if (s, e) == (0, end - start)), OTHER)
 
 
+def _unlabelled(tokens: list[tuple[int, int, int]], skips: list[tuple[int, int]]) -> set[int]:
+    """Look-alikes that skip links join to a labelled token, over other look-alikes or at once."""
+    near: dict[int, list[int]] = defaultdict(list)
+    for i, j in skips:
+        near[i].append(j)
+        near[j].append(i)
+    reached = {i for i in near if tokens[i][2] != OTHER}
+    open_ = list(reached)
+    while open_:
+        more = [j for j in near[open_.pop()] if j not in reached]
+        reached.update(more)
+        open_ += more
+    return {i for i in reached if tokens[i][2] == OTHER}
+
+
 def counts(texts: list[str]) -> dict[str, int]:
     """What training needs of some documents."""
     out: dict[str, int] = defaultdict(int)
     for t in texts:
         tokens = [(s, e, _alone(t, s, e) if k == OTHER else k) for s, e, k in candidates(t, base_spans(t))]
+        skips = links(t, tokens)
+        unknown, skipped = _unlabelled(tokens, skips), set(skips)
         for i, (s, e, k) in enumerate(tokens):
+            if i in unknown:
+                continue
             out[f"L:{k}"] += 1
             for f in features(t, s, e):
                 out[f"F:{f}:{k}"] += 1
-            if i:
+            if i and i - 1 not in unknown and (i - 1, i) not in skipped:
                 out[f"T:{tokens[i - 1][2]}:{k}"] += 1
-        for i, j in links(t, tokens):
-            out[f"S:{int(tokens[i][2] == tokens[j][2])}"] += 1
+        for i, j in skips:
+            if OTHER not in (tokens[i][2], tokens[j][2]) and tokens[i][1] <= tokens[j][0]:  # one place may match two patterns
+                out[f"S:{int(tokens[i][2] == tokens[j][2])}"] += 1
     return out
 
 
@@ -234,7 +259,7 @@ def train(docs: DataFrame, params: PiiParams = PiiParams()) -> PiiModel:
     feats = {f: tuple(math.log((sums.get(f"F:{f}:{k}", 0) + 0.5) / (seen[k] + 1)) for k in labels) for f in names}
     after = [[sums.get(f"T:{a}:{b}", 0) + 1 for b in labels] for a in labels]
     chain = tuple(tuple(math.log(n / sum(row)) - prior[b] for b, n in enumerate(row)) for row in after)
-    agree = math.log((sums.get("S:1", 0) + 1) / (sums.get("S:0", 0) + 1))
+    agree = math.log((sums.get("S:1", 0) + params.agreement[0]) / (sums.get("S:0", 0) + params.agreement[1]))
     return PiiModel(prior, feats, chain, agree)
 
 
