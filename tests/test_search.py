@@ -50,3 +50,34 @@ def test_cosine_pairs_lists_no_pairs(spark, monkeypatch):
 
     monkeypatch.setattr(search, "cosine_hits", pairs)
     assert plans.cosine_pairs(spark, f"{DATA}/sf0.001").count() == 500
+
+
+def test_threshold_hits_leave_tile_by_tile(spark, small_cells):
+    """However large a cell is, a worker holds the hits of one tile; before, it held those of a whole block pair."""
+    v = unit_vectors(copies=120)
+    ids = pa.array(range(len(v)))
+    rows = lambda a, b: pa.RecordBatch.from_arrays([ids[a:b], pa.ListArray.from_arrays(np.arange(0, v[a:b].size + 1, v.shape[1], np.int32), v[a:b].ravel())], ["sample_id", "vector"])
+    known = search.Corpus([rows(0, 50), rows(50, 120)])
+    pieces = list(known.hits(v[:7], np.arange(7), 0.5, None))
+    assert len(pieces) == 8 and max(len(i) for i, _, _ in pieces) <= 7 * 16
+    assert sum(len(i) for i, _, _ in pieces) == 7 * 119
+
+
+def test_rows_are_copied_to_a_bounded_number_of_cells(spark, small_cells):
+    """What is shuffled follows the rows: GRID copies of each at most, where blocks of a fixed size made ever more."""
+    v = unit_vectors(n=900)
+
+    def sizes(known, ids, vectors):
+        yield pa.RecordBatch.from_arrays([pa.array([len(ids)]), pa.array([len(known.ids)])], ["asked", "met"])
+
+    got = search._on_grid(*frames(spark, v), None, None, "asked long, met long", sizes).collect()
+    assert sum(r.asked for r in got) == search.GRID * len(v)
+    assert sum(r.asked * r.met for r in got) == len(v) ** 2
+
+
+def test_top_hits(spark, small_cells):
+    v = unit_vectors()
+    s = similarities(v, True)
+    got = sorted(tuple(r) for r in search.cosine_hits(*frames(spark, v), 0.1, 6, exclude_self=True).collect())
+    want = [(i, int(j), s[i, j]) for i in range(len(v)) for j in [j for j in np.lexsort((np.arange(len(v)), -s[i])) if s[i, j] >= 0.1][:6]]
+    assert got == sorted(want)
