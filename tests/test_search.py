@@ -3,9 +3,11 @@
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from kindred.operators import search
 from kindred.plans import queries as plans
+from kindred.sources.embedder import embed_column
 from tests.oracle import DATA
 
 
@@ -81,3 +83,32 @@ def test_top_hits(spark, small_cells):
     got = sorted(tuple(r) for r in search.cosine_hits(*frames(spark, v), 0.1, 6, exclude_self=True).collect())
     want = [(i, int(j), s[i, j]) for i in range(len(v)) for j in [j for j in np.lexsort((np.arange(len(v)), -s[i])) if s[i, j] >= 0.1][:6]]
     assert got == sorted(want)
+
+
+class Wide:
+    """Vectors that tell the length of a text."""
+
+    dimension = 2
+
+    def embed(self, texts):
+        return [[float(len(t or "")), 1.0] for t in texts]
+
+
+def test_embedding_takes_batches_bounded_by_bytes(spark):
+    """Rows of 40 KB: a worker's batch had up to 64 MB of them, which grew with the table."""
+    df = spark.range(300, numPartitions=1).select("id", F.repeat(F.lit("x"), 40_000).alias("t"))
+    out = embed_column(df, Wide(), "t", 7)
+    sizes = out.select("id", F.length("t").alias("n"), "vector").collect()
+    assert [(r.id, r.n, r.vector) for r in sizes] == [(i, 40_000, [40_000.0, 1.0]) for i in range(300)]
+
+    def held(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([b.nbytes for b in batches])], ["n"])
+
+    assert max(r.n for r in df.mapInArrow(held, "n long").collect()) <= 3 << 20  # as embed_column() has set the session
+
+
+def test_embedding_keeps_every_row_and_null(spark):
+    df = spark.createDataFrame([(i, None if i % 5 == 0 else "y" * i) for i in range(1500)], "id int, t string").repartition(3)
+    got = sorted((r.id, r.vector[0]) for r in embed_column(df, Wide(), "t").collect())
+    assert got == [(i, 0.0 if i % 5 == 0 else float(i)) for i in range(1500)]
+    assert embed_column(df.where("false"), Wide(), "t").count() == 0
