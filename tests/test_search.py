@@ -112,3 +112,14 @@ def test_embedding_keeps_every_row_and_null(spark):
     got = sorted((r.id, r.vector[0]) for r in embed_column(df, Wide(), "t").collect())
     assert got == [(i, 0.0 if i % 5 == 0 else float(i)) for i in range(1500)]
     assert embed_column(df.where("false"), Wide(), "t").count() == 0
+
+
+def test_places_and_sums_of_a_tile(small_cells):
+    """The rows and columns that np.nonzero() gives, and sums in order over a tile's own columns."""
+    v = unit_vectors(copies=1)
+    rows = pa.RecordBatch.from_arrays([pa.array(range(len(v))), pa.ListArray.from_arrays(np.arange(0, v.size + 1, v.shape[1], np.int32), v.ravel())], ["sample_id", "vector"])
+    found = similarities(v, True)[:9, 32:48] > 0.1
+    i, j = search._places(found)
+    assert (i.tolist(), j.tolist()) == tuple(x.tolist() for x in np.nonzero(found)) and len(i) > search.PIECE
+    assert search.Corpus([rows]).similarities(v[:9], i, j, 32).tolist() == similarities(v, True)[:9, 32:48][found].tolist()
+    assert [len(x) for x in search._places(np.zeros((3, 5), bool))] == [0, 0]
