@@ -123,3 +123,15 @@ def test_places_and_sums_of_a_tile(small_cells):
     assert (i.tolist(), j.tolist()) == tuple(x.tolist() for x in np.nonzero(found)) and len(i) > search.PIECE
     assert search.Corpus([rows]).similarities(v[:9], i, j, 32).tolist() == similarities(v, True)[:9, 32:48][found].tolist()
     assert [len(x) for x in search._places(np.zeros((3, 5), bool))] == [0, 0]
+
+
+def test_threshold_makes_no_decimal_of_a_hit(spark, capsys):
+    """round() took a quarter of the JVM's time; halves, their neighbours and the ends of a binade go as it sends them."""
+    plans.similarity_threshold(spark, f"{DATA}/sf0.001").explain()
+    assert "floor(" in (plan := capsys.readouterr().out.lower()) and "round(" not in plan
+    k = np.concatenate([[200_000, 2**18 - 1, 2**18, 2**19 - 1, 2**19, 999_999, 10**6, 2**20 - 1, 2**20], np.random.default_rng(5).integers(200_000, 10**6, 3000)])
+    half = (k + 0.5) / 1e6
+    c = np.concatenate([half, np.nextafter(half, 0), np.nextafter(half, 2), k / 1e6, np.random.default_rng(6).uniform(0.2, 1, 3000), [0.2, 1.0, np.nextafter(1.0, 2)]])
+    df = spark.createDataFrame([(float(x),) for x in c], "c double")
+    assert df.where(plans.fixed(F.col("c")) != plans.fixed_above(F.col("c"))).count() == 0
+    assert df.select(plans.fixed_above(F.col("c")).alias("v")).dtypes == [("v", "bigint")]
